@@ -66,15 +66,15 @@ def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of every row, and for each row the index of its first word (n + 1 values).
 
-    Words are maximal runs of bytes other than space, tab and 0x0A-0x0D; none crosses rows.
+    Words are maximal runs of bytes other than those that ``apart`` marks (space, tab and 0x0A-0x0D); none crosses rows.
     """
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_IS_SPACE[data]
+    solid = ~apart[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edge = offsets[:-1]

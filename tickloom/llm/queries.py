@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces, token_counts
+from . import decontamination, lm_scoring, quality, sentencepieces, sharding, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,80 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = _labels(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    links = toxicity.fit(docs, labels, TOXIC_CHAIN)
+    return toxicity.score(docs, links, TOXIC_CHAIN).drop("text")
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """Three grades: 0 rejected, 1 acceptable but toxic, 2 good."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).alias("grade"))
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, graded(_labels(spark, sf_dir)), "grade")
+    return quality.score(docs, model, pass_grade=1).drop("text")
+
+
+SHARD_BYTES = 1 << 20
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_documents(spark, sf_dir).select("doc_id", "text"), SHARD_BYTES)
+
+
+ORACLES["op6_sharding"] = f"""
+WITH items AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents
+), levels AS (SELECT range::INT AS depth FROM range(0, 61)
+), buckets AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM items, levels GROUP BY ALL
+), fitting AS (SELECT * FROM buckets WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1
+), first_fit AS (
+  SELECT i.doc_id, i.n_bytes, min_by(f, f.depth) AS f FROM items i JOIN fitting f ON f.prefix = i.h >> (60 - f.depth) GROUP BY ALL
+)
+SELECT doc_id, n_bytes, 's' || CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(f.prefix), f.depth, '0') END AS shard_id,
+       f.depth AS depth, f.shard_bytes AS shard_bytes, f.shard_rows AS shard_rows, f.shard_bytes > {SHARD_BYTES} AS oversized
+FROM first_fit
+"""
+
+
+@_query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.matches(_documents(spark, sf_dir), items)
+
+
+_SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"""
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLES["op7_decontamination"] = f"""
+WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, len(s)::BIGINT AS n_item, unnest(s) AS s FROM (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*)::DOUBLE / n_item AS containment
+FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
+"""
+
+
 @_query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.fit(docs)).drop("text")
