@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, lm_scoring, quality, repeats, sentencepieces, sharding, token_counts, toxicity
+from . import decontamination, embeddings, lm_scoring, ngram_join, quality, repeats, sentencepieces, sharding, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_documents(spark, sf_dir))
+
+
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -137,3 +142,14 @@ FROM embeddings LEFT JOIN low ON low.node = vec_id LEFT JOIN n ON n.node = vec_i
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return lm_scoring.score(docs, lm_scoring.fit(docs)).drop("text")
+
+
+ORACLES["op1_ngram_join"] = f"""
+WITH RECURSIVE sets AS MATERIALIZED (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents)),
+t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS node, b AS other FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other),
+low AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN low ON low.node = doc_id
+"""
