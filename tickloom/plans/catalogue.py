@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import queries_aggregate, queries_domain, queries_joins, queries_series
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (queries_joins, queries_aggregate, queries_series, queries_domain):
+    QUERIES |= module.BOOK.queries
+    ORACLES |= module.BOOK.oracles
