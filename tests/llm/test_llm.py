@@ -192,8 +192,9 @@ def _brute_repeats(raws, length):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 150])
-def test_repeats_are_exact(spark, texts, length):
+@pytest.mark.parametrize(("length", "piece"), [(400, 1 << 20), (150, 700)])
+def test_repeats_are_exact(spark, texts, monkeypatch, length, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
     rng = np.random.default_rng(4)
     passage = _prose(rng, 130)
     rows = [*texts, "De " * 400, "ab" * 900, "x" * 1500, passage, f"{_prose(rng, 40)} {passage} {_prose(rng, 40)}", f"é{passage[:450]} end", passage[200:620] + _prose(rng, 9), f"{passage[:401]}{passage[:401]}", _prose(rng, 3000)]

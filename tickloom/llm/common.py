@@ -149,7 +149,7 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(sizes)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text is at most about ``limit`` bytes (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:

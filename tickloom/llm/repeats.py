@@ -40,6 +40,7 @@ from .common import _U, i64, materialize, mix, prefix_sums, range_hash, release,
 GRAM = 8
 WIDE, NARROW = 128, 16
 BLOOM_WORDS = 1 << 17
+PIECE = 1 << 20
 
 
 def _hash(sums: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
@@ -140,9 +141,14 @@ def repeated_ranges(keyed: DataFrame, length: int = 400) -> DataFrame:
     """Rows (k, ranges): for each text key with repeats its window ranges (place, n). ``keyed`` has k and text."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            b = wide_blocks(*string_buffer(batch.column(1)), length)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b["row"])), *[pa.array(b[x].astype(np.int32)) for x in ("place", "n", "c")], *[pa.array(i64(b[x])) for x in ("core", "stretch")]], names=["k", "place", "n", "c", "core", "stretch"])
+        for batch in slices(batches, "text", PIECE):
+            data, off = string_buffer(batch.column(1))
+            # a text longer than PIECE comes alone and is taken piece by piece, so memory doesn't follow its length
+            for at in range(0, max(1, len(data) - length + 1) if batch.num_rows == 1 else 1, PIECE):
+                part = data[at : at + PIECE + length - 1] if batch.num_rows == 1 else data
+                b = wide_blocks(part, np.array([0, len(part)]) if batch.num_rows == 1 else off, length)
+                place = [pa.array((b[x] + (at if x != "n" else 0)).astype(np.int32)) for x in ("place", "n", "c")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b["row"])), *place, *[pa.array(i64(b[x])) for x in ("core", "stretch")]], names=["k", "place", "n", "c", "core", "stretch"])
 
     schema = "k long, place int, n int, c int, core long, stretch long"
     rows = materialize(keyed.select("k", "text").mapInArrow(first, schema), "wide")
