@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_aggregate, queries_domain, queries_joins, queries_series
+from . import queries_aggregate, queries_domain, queries_joins, queries_research, queries_series
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (queries_joins, queries_aggregate, queries_series, queries_domain):
+for module in (queries_joins, queries_aggregate, queries_series, queries_domain, queries_research):
     QUERIES |= module.BOOK.queries
     ORACLES |= module.BOOK.oracles
