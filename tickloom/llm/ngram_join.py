@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, components, i64, materialize, mix, release, shingles, slices
+from .common import _U, bloom, components, i64, materialize, maybe_in, mix, release, shingles, slices
 
 NUM, DEN = 4, 5
 CELLS = 1 << 22
@@ -48,7 +48,7 @@ PHI = (1 / 1000, 1 / 20)
 LEAST = 64
 SMALL = 32
 SALTS = 32
-SKETCH_WORDS = 16
+SKETCH_BITS = (512, 1 << 16)
 
 
 def needed(n: int) -> int:
@@ -99,7 +99,7 @@ def signatures(s: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hot.append(np.zeros(rare, bool))
         if combos:
             c = np.array(combos, np.uint64)
-            h = mix(c[:, 0] + _U(regime) * _U(0x9E3779B97F4A7C15))
+            h = mix(c[:, 0] ^ _U(regime << 48))
             for j in range(1, 4):
                 h = mix(h * _U(0xD6E8FEB86659FD93) + c[:, j])
             out.append(h)
@@ -108,11 +108,18 @@ def signatures(s: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate(hot)[at]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's hashes in 64 x SKETCH_WORDS bits: the Hamming distance of two is at most the symmetric difference."""
-    bit = (mix(s ^ _U(0x27220A95)) % _U(64 * SKETCH_WORDS)).astype(np.int64)
-    odd = np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the set's hashes in a power of two of bits, twice the set's size at least (within SKETCH_BITS)."""
+    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(s) - 1).bit_length()), SKETCH_BITS[1])
+    bit = (mix(s ^ _U(0x27220A95)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two sketches, the longer one folded: at most the size of the symmetric difference of the sets."""
+    x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _identity(s: np.ndarray) -> int:
@@ -213,21 +220,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of distinct nodes whose exact similarity reaches the threshold.
 
-    ``nodes`` has node, n, sketch, text. Sizes and sketches go first: overlap <= (n_a + n_b - Hamming) / 2.
+    ``nodes`` has node, n, sketch, text. Sizes and sketches go first: overlap <= (n_a + n_b - Hamming) / 2. Only the
+    pairs that these can't exclude fetch texts.
     """
     small = nodes.select("node", "n", "sketch")
     left, right = (small.select(*[F.col(c).alias(f"{x}{c}") for c in small.columns]) for x in ("a_", "b_"))
-    near = pairs.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
-    hamming = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("a_n") + F.col("b_n")
-    # intersection >= 4/9 of the sum of sizes
-    near = near.where((F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM) & ((total - hamming) * (NUM + DEN) >= 2 * NUM * total)).select("a", "b")
-    near = materialize(near, "near")
+    sized = F.least("a_n", "b_n") * DEN >= F.greatest("a_n", "b_n") * NUM
+    near = pairs.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node")).where(sized)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(batch.column(2), np.int64)
+            far = np.array([hamming(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)], np.int64)
+            # intersection >= 4/9 of the sum of sizes
+            ok = (total - far) * (NUM + DEN) >= 2 * NUM * total
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    near = materialize(near.select("a", "b", F.col("a_n") + F.col("b_n"), "a_sketch", "b_sketch").mapInArrow(sift, "a long, b long"), "near")
     texts = nodes.select("node", "text")
     full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta", 2 << 20):
+        for batch in slices(batches, "ta"):
             ok = np.array([NUM * (len(x) + len(y) - (both := len(np.intersect1d(x, y, assume_unique=True)))) <= DEN * both for x, y in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
@@ -268,19 +282,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # hot signatures: the pivots of the salted runs meet
     top = runs.where("hot").groupBy("sig").agg(F.min(F.struct(F.xxhash64("pivot").alias("prio"), "pivot")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", F.col("top.pivot").alias("head"))
     hot = runs.where("hot").join(top, "sig")
-    lists = materialize(runs.where("not hot").select("sig", "node", "pivot", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "pivot", "head")), "lists")
+    lists = materialize(runs.where("not hot").select("sig", "node", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "head")), "lists")
     release(spark, runs)
 
     active = lists.select("node").distinct()
     chosen = members.join(active, "node").groupBy("node").agg(F.min("id").alias("id"))
     nodes = _nodes(src, chosen)
 
-    star = lists.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(lists.select("pivot", "head"))
     pair = lambda p: p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = _verify(pair(star), nodes)
-    sigs = lists.select("sig", "node")
-    # a second pivot for what the first left apart
-    open_ = materialize(_unsettled(_labelled(sigs, found)), "open")
+    # first the pivot that most of a node's lists propose: one text fetched a node
+    star = lists.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    found = _verify(pair(star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))), nodes)
+    # then all pivots of the lists that this left apart
+    open_ = materialize(_unsettled(_labelled(lists.select("sig", "node", "head"), found)), "open")
+    home = open_.select(F.col("node").alias("head"), F.col("component").alias("home")).distinct()
+    apart = open_.join(home, "head").where("component <> home").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    found = found.union(_verify(pair(apart), nodes))
+    # a second pivot for what is still apart
+    open_ = materialize(_unsettled(_labelled(open_.select("sig", "node"), found)), "open")
     lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("p"), F.col("node").alias("pivot"))).alias("top")).select("sig", F.col("top.pivot").alias("pivot"))
     again = _verify(pair(open_.join(lead, "sig").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes)
     found = found.union(again)
@@ -299,10 +318,12 @@ def _nodes(src: DataFrame, chosen: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             sets = list(_sets(batch.column(0)))
             ok = np.array([len(s) > 0 and _identity(s) == k for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
-            bits = pa.array([sketch(s).tolist() for s in sets], pa.list_(pa.int64()))
+            bits = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in sets], pa.int64()), bits, batch.column(0)], names=["node", "n", "sketch", "text"]).filter(pa.array(ok))
 
-    got = src.join(chosen, "id").select("text", "node").mapInArrow(run, "node long, n long, sketch array<long>, text string")
+    # only documents that the bounded filter lets through are shuffled
+    some = maybe_in(src.withColumn("k", F.col("id")), bloom(chosen.select(F.col("id").alias("k")))).where("__maybe").select("id", "text")
+    got = some.join(chosen, "id").select("text", "node").mapInArrow(run, "node long, n long, sketch binary, text string")
     # an id may stand for several rows; any that has the set will do
     return materialize(got.dropDuplicates(["node"]), "nodes")
 

@@ -35,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _U, i64, materialize, mix, prefix_sums, range_hash, release, slices, string_buffer
+from .common import _U, bloom, i64, materialize, maybe_in, mix, prefix_sums, range_hash, release, slices, string_buffer
 
 GRAM = 8
 WIDE, NARROW = 128, 16
-BLOOM_WORDS = 1 << 17
 PIECE = 1 << 20
 
 
@@ -120,23 +119,6 @@ def _with_samples(sure: DataFrame, open_: DataFrame) -> DataFrame:
     return open_.unionByName(one.select("core", "stretch", "r.*"))
 
 
-def _bloom(keys: DataFrame) -> DataFrame:
-    """(word, bits): a Bloom filter of at most BLOOM_WORDS longs over the column k; two bits a key."""
-    h = F.xxhash64("k")
-    one = lambda s: keys.select(F.pmod(F.shiftrightunsigned(h, s), F.lit(BLOOM_WORDS)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(k), {s + 20}), 64) as int))").alias("bit"))
-    return one(0).union(one(30)).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def _split(docs: DataFrame, bloom: DataFrame) -> DataFrame:
-    """``docs`` (with k) with a column __maybe: false for rows that the filter excludes."""
-    out = docs
-    for j, s in enumerate((0, 30)):
-        b = F.broadcast(bloom.select(F.col("word").alias(f"__w{j}"), F.col("bits").alias(f"__b{j}")))
-        out = out.withColumn(f"__w{j}", F.pmod(F.shiftrightunsigned(F.xxhash64("k"), s), F.lit(BLOOM_WORDS)).cast("int")).join(b, f"__w{j}", "left")
-        out = out.withColumn(f"__b{j}", F.expr(f"coalesce(__b{j} & shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(k), {s + 20}), 64) as int)), 0L) <> 0"))
-    return out.withColumn("__maybe", F.col("__b0") & F.col("__b1")).drop("__w0", "__w1", "__b0", "__b1")
-
-
 def repeated_ranges(keyed: DataFrame, length: int = 400) -> DataFrame:
     """Rows (k, ranges): for each text key with repeats its window ranges (place, n). ``keyed`` has k and text."""
 
@@ -157,7 +139,7 @@ def repeated_ranges(keyed: DataFrame, length: int = 400) -> DataFrame:
 
     open_ = materialize(_with_samples(sure, open_), "open")
     todo = open_.groupBy("k").agg(F.collect_list(F.struct("place", "n", "c")).alias("blocks"))
-    some = _split(keyed.select("k", "text"), _bloom(open_.select("k"))).where("__maybe").select("k", "text")
+    some = maybe_in(keyed.select("k", "text"), bloom(open_.select("k"))).where("__maybe").select("k", "text")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -203,7 +185,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     keyed = docs.select(key.alias("k"), text.alias("text")).where(F.octet_length("text") >= length)
     ranges = materialize(repeated_ranges(keyed, length), "ranges")
     plain = docs.select(*[F.col(f"`{c}`").alias(f"f{j}") for j, c in enumerate(keep)], key.alias("k"), text.alias("text"))
-    split = _split(plain, _bloom(ranges.select("k")))
+    split = maybe_in(plain, bloom(ranges.select("k")))
     runs = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [f"f{j}" for j in range(len(keep))]
     whole = split.where(~F.col("__maybe")).select(*fields, F.array().cast(runs).alias("removed"), F.col("text").cast("binary").alias("kept"))
