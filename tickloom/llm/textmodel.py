@@ -43,16 +43,21 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 
 def term_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of every run of letters and digits (case folded) and of every word's last three bytes; row offsets."""
+    """64-bit keys of every run of letters and digits (case folded), of its stems of 4 and 5 bytes and of words' last three bytes; row offsets."""
     prefix, inv = prefix_sums(data, fold_case=True)
     st, en, first = word_bounds(data, offsets, _APART)
-    term = mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    keys, rows = [mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64))], [row]
+    for size in (4, 5):
+        long = en - st > size
+        keys.append(mix(range_hash(prefix, inv, st[long], st[long] + size) ^ _U(0x6C8E9CF5 + size)))
+        rows.append(row[long])
     st, en, other = word_bounds(data, offsets)
-    tail = np.maximum(st, en - 3)
-    tail = mix(range_hash(prefix, inv, tail, en) ^ _U(0x51ED270B))
-    row = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(first)), np.repeat(np.arange(len(offsets) - 1), np.diff(other))])
+    keys.append(mix(range_hash(prefix, inv, np.maximum(st, en - 3), en) ^ _U(0x51ED270B)))
+    rows.append(np.repeat(np.arange(len(offsets) - 1), np.diff(other)))
+    row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
-    return np.concatenate([term, tail])[order], first + other
+    return np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1))])
 
 
 def row_means(weights: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ log-odds of all earlier categories. For training, the earlier log-odds are out-o
 from models fitted on the others, so a later model sees earlier ones as wrong as they are on new documents. For scoring
 each category's model is fitted on all training rows.
 
-Terms are 64-bit hashes of runs of letters and digits, and of words' endings. A category's model holds the at most
+Terms are 64-bit hashes of runs of letters and digits, of their stems, and of words' endings. A category's model holds the at most
 TERMS terms whose document shares differ most between its classes (two-proportion z of Z or more); each is present or
 absent, so neither length nor repetition dilutes it.
 
