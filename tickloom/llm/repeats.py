@@ -98,15 +98,18 @@ def narrow_blocks(data: np.ndarray, place: np.ndarray, n: np.ndarray, c: np.ndar
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs more than once."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    """The rows whose key occurs more than once.
+
+    The counts are a table of their own, so the join is between two plain shuffles and AQE can split a hot key's rows.
+    """
+    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "counts")
     return rows.join(counts, keys)
 
 
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a repeated core, told apart by whether the whole stretch repeats: (repeats, open ones)."""
     alive = materialize(_repeated(rows, ["core"]), name)
-    whole = alive.groupBy("core", "stretch").agg(F.count("*").alias("__n")).where("__n > 1")
+    whole = materialize(alive.groupBy("core", "stretch").agg(F.count("*").alias("__n")).where("__n > 1"), "counts")
     marked = materialize(alive.join(whole, ["core", "stretch"], "left"), name)
     release(rows.sparkSession, alive)
     return marked.where("__n is not null").drop("__n"), marked.where("__n is null").drop("__n")
@@ -115,7 +118,8 @@ def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 def _with_samples(sure: DataFrame, open_: DataFrame) -> DataFrame:
     """The open rows and, for each core they have, one row of each settled stretch: open windows may equal theirs."""
     rest = [c for c in open_.columns if c not in ("core", "stretch")]
-    one = sure.groupBy("core", "stretch").agg(F.min(F.struct(*rest)).alias("r")).join(open_.select("core").distinct(), "core", "left_semi")
+    cores = materialize(open_.select("core").distinct(), "cores")
+    one = materialize(sure.groupBy("core", "stretch").agg(F.min(F.struct(*rest)).alias("r")), "samples").join(cores, "core", "left_semi")
     return open_.unionByName(one.select("core", "stretch", "r.*"))
 
 
