@@ -260,7 +260,8 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     """Rows of the signatures whose nodes lie in more than one component, with the signature's largest component."""
     size = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
     best = size.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
-    return rows.join(best.select("sig", F.col("top.component").alias("main")), "sig")
+    # a table of its own, so that AQE can split the rows of a long list in the join
+    return rows.join(materialize(best.select("sig", F.col("top.component").alias("main")), "unsettled"), "sig")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -281,6 +282,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     runs = materialize(salted.sortWithinPartitions("sig", "prio", "node").select("sig", "hot", "prio", "node").mapInArrow(_runs, "sig long, hot boolean, node long, pivot long"), "runs")
     # hot signatures: the pivots of the salted runs meet
     top = runs.where("hot").groupBy("sig").agg(F.min(F.struct(F.xxhash64("pivot").alias("prio"), "pivot")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", F.col("top.pivot").alias("head"))
+    top = materialize(top, "heads")
     hot = runs.where("hot").join(top, "sig")
     lists = materialize(runs.where("not hot").select("sig", "node", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "head")), "lists")
     release(spark, runs)
