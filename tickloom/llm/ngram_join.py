@@ -237,7 +237,9 @@ def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     near = materialize(near.select("a", "b", F.col("a_n") + F.col("b_n"), "a_sketch", "b_sketch").mapInArrow(sift, "a long, b long"), "near")
-    texts = nodes.select("node", "text")
+    # of the texts only those of the remaining pairs are shuffled
+    ends = near.select(F.col("a").alias("k")).union(near.select("b"))
+    texts = maybe_in(nodes.select("node", "text", F.col("node").alias("k")), bloom(ends)).where("__maybe").select("node", "text")
     full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +328,11 @@ def _nodes(src: DataFrame, chosen: DataFrame) -> DataFrame:
     # only documents that the bounded filter lets through are shuffled
     some = maybe_in(src.withColumn("k", F.col("id")), bloom(chosen.select(F.col("id").alias("k")))).where("__maybe").select("id", "text")
     got = some.join(chosen, "id").select("text", "node").mapInArrow(run, "node long, n long, sketch binary, text string")
+    nodes = materialize(got, "nodes")
     # an id may stand for several rows; any that has the set will do
-    return materialize(got.dropDuplicates(["node"]), "nodes")
+    if nodes.count() > nodes.select("node").distinct().count():
+        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
+    return nodes
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
