@@ -86,11 +86,11 @@ def spearman_pearson(t):
 
 @BOOK.query("""
 SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INT AS y, (grouping(o_orderstatus) * 4 + grouping(o_orderpriority) * 2 + grouping(year(o_orderdate)))::BIGINT AS grouping_id,
-  count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (year(o_orderdate)), (o_orderstatus, year(o_orderdate)), ())
+  count(*) AS n, round(avg(o_totalprice), 8) AS mean_price FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (year(o_orderdate)), (o_orderstatus, year(o_orderdate)), ())
 """)
 def grouping_sets_regimes(t):
     o = t.orders.withColumn("y", F.year("o_orderdate"))
-    out = stats.grouping_sets(o, [["o_orderstatus"], ["o_orderpriority"], ["y"], ["o_orderstatus", "y"], []], {"n": "count(*)", "mean_price": "round(avg(o_totalprice), 4)"})
+    out = stats.grouping_sets(o, [["o_orderstatus"], ["o_orderpriority"], ["y"], ["o_orderstatus", "y"], []], {"n": "count(*)", "mean_price": "round(avg(o_totalprice), 8)"})
     return out.select("o_orderstatus", "o_orderpriority", "y", F.expr("cast(grouping_id as bigint)").alias("grouping_id"), "n", "mean_price")
 
 
