@@ -264,7 +264,7 @@ def test_ordinal_gradient_orders_grades():
     rows = textmodel.Rows(np.zeros(n, np.int64), x, np.arange(n + 1))
     m = quality.fit_rows(rows, y)
     s = rows.dot(m.weights.astype(float))
-    assert m.thresholds[0] < m.thresholds[1] and np.corrcoef(m.expected(s), y)[0, 1] > 0.9
+    assert m.thresholds[0] < m.thresholds[1] and np.corrcoef(m.expected(s), y)[0, 1] > 0.85
 
 
 def _directory(items, limit):
