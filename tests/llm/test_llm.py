@@ -11,7 +11,7 @@ pytest.importorskip("tickloom.llm")
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from tickloom.llm import common, decontamination, embeddings, lm_scoring, ngram_join, quality, repeats, sentencepieces, sharding, textmodel, token_counts, toxicity
+from tickloom.llm import common, decontamination, embeddings, lm_scoring, lm_window, ngram_join, quality, repeats, sentencepieces, sharding, textmodel, token_counts, toxicity
 from tickloom.llm.queries import ORACLES, QUERIES, graded
 
 WORDS = [f"w{i:03d}" for i in range(400)]
@@ -387,6 +387,38 @@ def test_lm_scores_equal_a_plain_sum(spark, texts):
     assert -(counts * table).sum() < plain  # both sides tell more than frequencies
 
 
+def test_lm_window_scores_and_grows(spark, texts):
+    docs = _docs(spark, enumerate(texts), extra=True)
+    model = lm_window.fit(docs)
+    got = {r.doc_id: r for r in lm_window.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    words = [[w.lower() for w in __import__("re").findall("[^\x20\x09-\x0d]+", t or "")] for t in texts]
+    assert [got[i].n_tokens for i in got] == [len(words[i]) for i in got] and all((got[i].mean_log_prob is None) == (not words[i]) for i in got)
+    leaves = np.arange(len(model.keys) + 1)
+    for x in (np.zeros(4, int), np.array([1, 2, 3, 4])):  # the leaves' probabilities sum to one
+        assert np.exp(model.log_prob(leaves, np.tile(x, (len(leaves), 1)))).sum() == pytest.approx(1, abs=1e-4)
+    n = model.counts[model.counts > 0]
+    start = lm_window.Model(model.keys, model.counts[:-1], model.counts[-1])
+    w = [lm_window.Words(pa.array([t], pa.string())) for t in texts]
+    mass = lambda m: sum(m.log_prob(m.ids(a)[0], a.neighbours(m.ids(a)[1])).sum() for a in w)
+    assert mass(start) == pytest.approx((n * np.log(n / n.sum())).sum(), rel=0.01) and mass(model) > mass(start)
+    assert sum(r.log_likelihood for r in got.values()) == pytest.approx(sum(model.score(a).sum() for a in w), rel=1e-9)
+    more = lm_window.vocabulary(_docs(spark, enumerate([*texts, *[f"new{i} " * 5 for i in range(300)]])).select("text"))
+    assert len(more.keys) >= len(model.keys) + 300
+    assert lm_window.score(_docs(spark, []), lm_window.fit(_docs(spark, []))).count() == 0
+
+
+def test_lm_query_tells_rare_words_apart(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    base = [(i, _prose(rng, 80)) for i in range(150)]
+    ends = [f"{a}{b}ing" for a in ("walk", "talk", "read") for b in ("", "s")]
+    text = " ".join(f"{w} {e}" for w, e in zip(WORDS, ends))
+    junk = " ".join(f"{w} {'zqxj' * 3}{e[-3:]}" for w, e in zip(WORDS, ends))
+    _docs(spark, [*base, (900, text), (901, junk), (902, text.replace("walking", "talking"))]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_likelihood for r in QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[900] != pytest.approx(got[901], abs=1e-6) and got[900] != pytest.approx(got[902], abs=1e-6)
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, lm_scoring, ngram_join, quality, repeats, sentencepieces, sharding, token_counts, toxicity
+from . import decontamination, embeddings, lm_window, ngram_join, quality, repeats, sentencepieces, sharding, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,7 +141,7 @@ FROM embeddings LEFT JOIN low ON low.node = vec_id LEFT JOIN n ON n.node = vec_i
 @_query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.fit(docs)).drop("text")
+    return lm_window.score(docs, lm_window.fit(docs)).drop("text")
 
 
 ORACLES["op1_ngram_join"] = f"""
