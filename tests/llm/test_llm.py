@@ -303,6 +303,19 @@ def test_sharding_parts_equal_keys(spark):
     assert sharding.assign(_docs(spark, []), 1000).count() == 0
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(7, f"{i:03d}" + "x" * 97) for i in range(60)] + [(None, "n" * 40), (None, None)] + [(100 + i, "y" * 50) for i in range(30)]
+    docs = _docs(spark, rows, extra=True)
+    directory = {r.shard_id: r for r in sharding.write_shards(docs, str(tmp_path / "out"), 1000).collect()}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for i, t in rows) and got[0].k == 1
+    size, n = collections.Counter(), collections.Counter(r.shard_id for r in got)
+    for r in got:
+        size[r.shard_id] += len(r.text or "")
+    assert max(size.values()) <= 1000 and set(n) == set(directory)
+    assert all(size[s] == r.shard_bytes and n[s] == r.shard_rows for s, r in directory.items())
+
+
 def test_decontamination_is_exact(spark, texts, monkeypatch):
     rng = np.random.default_rng(6)
     items = [*ODD, *[_prose(rng, n) for n in (3, 5, 8, 30, 30, 200)], texts[-1][:200]]

@@ -68,14 +68,8 @@ def _name(prefix: Column, depth: Column) -> Column:
     return F.concat(F.lit("s"), F.when(depth == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')")))
 
 
-def assign(docs: DataFrame, limit: int, key: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_bytes, shard_id, depth, shard_bytes, shard_rows and oversized.
-
-    shard_id is "s" and the bucket's hash prefix in binary; rows parted by identity add "-" and a second prefix.
-    """
-    key = key or ["doc_id"]
-    own = ("n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows", "oversized")
-    keep = [c for c in docs.columns if c != text_col and c not in own]
+def _assigned(docs: DataFrame, limit: int, key: list[str], text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, k0, k1 ... for the columns ``keep``), and for every rid its n_bytes and shard."""
     src = docs.select(
         *[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(keep)],
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
@@ -96,15 +90,29 @@ def assign(docs: DataFrame, limit: int, key: list[str] | None = None, text_col:
         again = again.join(rest.select("rid", F.col("h").alias("key")), "rid")
         name = F.concat(F.expr(f"concat('s', lpad(bin(key), {BITS}, '0'), '-')"), F.substring(_name(F.col("prefix"), F.col("depth")), 2, BITS))
         placed = placed.unionByName(again.select("rid", "n_bytes", name.alias("shard_id"), (F.col("depth") + BITS).alias("depth"), "shard_bytes", "shard_rows"))
-    out = src.drop("n_bytes", "h").join(placed, "rid")
+    return src.drop("n_bytes", "h"), placed
+
+
+def assign(docs: DataFrame, limit: int, key: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_bytes, shard_id, depth, shard_bytes, shard_rows and oversized.
+
+    shard_id is "s" and the bucket's hash prefix in binary; rows parted by identity add "-" and a second prefix.
+    """
+    own = ("n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows", "oversized")
+    keep = [c for c in docs.columns if c != text_col and c not in own]
+    src, placed = _assigned(docs, limit, key or ["doc_id"], text_col, keep)
+    out = src.join(placed, "rid")
     return out.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], "n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Write ``docs`` partitioned by shard_id; returns the directory (shard_id, depth, shard_bytes, shard_rows)."""
-    key = key or ["doc_id"]
-    placed = materialize(assign(docs, limit, key, text_col).select(*key, "shard_id", "depth", "shard_bytes", "shard_rows").distinct(), "shards")
-    docs.join(placed.select(*key, "shard_id"), key).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    keep = [c for c in docs.columns if c != "shard_id"]
+    src, placed = _assigned(docs, limit, key or ["doc_id"], text_col, keep)
+    placed = materialize(placed, "shards")
+    # by row identity: a key may lie in many shards, or be null
+    rows = src.join(placed.select("rid", "shard_id"), "rid").select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(keep)], "shard_id")
+    rows.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
     directory = materialize(placed.select("shard_id", "depth", "shard_bytes", "shard_rows").distinct(), "directory")
-    release(docs.sparkSession, placed)
+    release(docs.sparkSession, src, placed)
     return directory
