@@ -148,6 +148,39 @@ def test_implied_vol_statuses_and_recovery():
     assert np.abs(up - down - (s - k * np.exp(-0.1 * t))).max() < 1e-8
 
 
+def test_option_queries_return_every_row(spark):
+    from statistics import NormalDist
+
+    from tickloom.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_retailprice", "p_size").toPandas()
+    key, s, size = (part[c].to_numpy() for c in ("p_partkey", "p_retailprice", "p_size"))
+    s = s.astype(float)
+    k, v, t, call = s * (0.9 + size % 21 / 100), 0.05 + key % 40 / 100, (7 + key % 100) / 365, key % 2 == 0
+    d1 = (np.log(s / k) + (0.1 + v * v / 2) * t) / (v * np.sqrt(t))
+    d2, disc = d1 - v * np.sqrt(t), k * np.exp(-0.1 * t)
+    n = np.vectorize(NormalDist().cdf)
+    price = np.where(call, s * n(d1) - disc * n(d2), disc * n(-d2) - s * n(-d1))
+    low = (v < 0.1) | (s * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi) * np.sqrt(t) <= 1)
+    assert low.sum() > 50
+    greeks = {r.p_partkey: r for r in QUERIES["bsm_price_greeks_all"](spark, sf).collect()}
+    assert set(greeks) == set(key) and max(abs(greeks[i].price - x) for i, x in zip(key, price)) < 1e-5
+    back = lambda i, iv: float(pricing._price(s[i : i + 1], k[i : i + 1], t[i : i + 1], np.array([iv]), call[i : i + 1], 0.1)[0][0])
+    for name, status in (("implied_vol_all", "bsm_status"), ("black76_all", "status")):
+        got = {r.p_partkey: r for r in QUERIES[name](spark, sf).collect()}
+        assert set(got) == set(key) and len(got) == len(part)
+        assert all((r.iv is None) == (r[status] != "ok") for r in got.values())
+        for i in range(len(key)):
+            r = got[key[i]]
+            if not low[i]:
+                assert r[status] == "ok" and abs(r.iv - v[i]) < 1e-6
+            elif r[status] == "ok":
+                assert abs(back(i, r.iv) - price[i]) < 1e-7
+            else:  # nothing is left unsolved but prices at their bound
+                assert r[status] == "no_arbitrage_violation" and price[i] - max(0, (s[i] - disc[i]) * (1 if call[i] else -1)) < 1e-11
+
+
 def test_costs(spark):
     df = spark.createDataFrame([("BUY", 100.0, 50, "2024-01-01"), ("SELL", 100.0, 50, "2023-03-31"), ("SELL", 100.0, 50, "2026-04-01")], "side string, p double, q int, d string")
     c = execution.leg_charges(F.col("side"), F.lit(False), F.col("p"), F.col("q"), F.to_date("d"))

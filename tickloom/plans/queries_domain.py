@@ -59,6 +59,30 @@ def black76_roundtrip(t):
     return pricing.with_black76_iv(o, "f", "k", "price", "t", "c").select("p_partkey", F.round("iv", 6).alias("iv"))
 
 
+# The three queries above hold what their SQL can follow; those below return every row of part, without an oracle.
+
+
+@BOOK.query()
+def bsm_price_greeks_all(t):
+    g = pricing.bsm(F.col("s"), F.col("k"), F.col("t"), F.col("v"), F.col("c"))
+    return _options(t).select("p_partkey", *[F.round(g[c], n).alias(c) for c, n in (("price", 6), ("delta", 8), ("gamma", 8), ("vega", 6), ("theta", 8))])
+
+
+@BOOK.query()
+def implied_vol_all(t):
+    o = _options(t)
+    o = o.withColumn("price", pricing.bsm(F.col("s"), F.col("k"), F.col("t"), F.col("v"), F.col("c"))["price"])
+    return pricing.with_implied_vol(o, "s", "k", "price", "t", "c").select("p_partkey", "iv", "bsm_status", "iv_method", "iv_residual")
+
+
+@BOOK.query()
+def black76_all(t):
+    o = _options(t).withColumn("f", F.col("s") * F.exp(0.1 * F.col("t")))
+    o = o.withColumn("price", pricing.black76(F.col("f"), F.col("k"), F.col("t"), F.col("v"), F.col("c")))
+    status = F.when(F.col("iv").isNull(), "no_arbitrage_violation").otherwise("ok")
+    return pricing.with_black76_iv(o, "f", "k", "price", "t", "c").select("p_partkey", "iv", status.alias("status"))
+
+
 @BOOK.query("""
 WITH x AS (SELECT p_partkey, p_retailprice AS s, 5.0 AS a, 3.0 AS b FROM part)
 SELECT p_partkey, round(s * 0.99 + (6.0 - 2.0) * exp(0.1 * 30 / 365.0), 6) AS forward, round(0.3 * 0.3 - 0.05 * 0.05 * 525600.0 / 94500.0, 10) AS vrp FROM x
