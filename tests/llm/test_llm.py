@@ -97,12 +97,68 @@ def test_signatures_meet_at_the_threshold():
             for extra in {0, max(0, len(a) * 5 // 4 - len(a))}:
                 both = a[rng.permutation(len(a))[: len(a) if extra else keep]]
                 b = np.unique(np.concatenate([both, rng.integers(0, 2**63, extra, dtype=np.uint64)]))
-                shared = len(np.intersect1d(a, b))
-                if 5 * shared < 4 * len(np.union1d(a, b)):
+                shared = np.intersect1d(a, b)
+                if 5 * len(shared) < 4 * len(np.union1d(a, b)):
                     continue
                 cls = lambda s: np.where(common.mix(s ^ np.uint64(1)) % np.uint64(100) < np.uint64(int(100 * share)), 2 + (s % np.uint64(2)), 1).astype(np.int8)
-                x, y = ngram_join.signatures(a, cls(a))[0], ngram_join.signatures(b, cls(b))[0]
-                assert len(np.intersect1d(x, y)), (n, share, extra)
+                # shingles of one set only: none known, or all of them
+                for own in (lambda s: s, lambda s, c=shared: c):
+                    x, y = (ngram_join.signatures(len(s), len(s) - len(own(s)), own(s), cls(own(s)))[0] for s in (a, b))
+                    assert len(np.intersect1d(x, y)), (n, share, extra)
+
+
+def test_shared_shingles_stream_over_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    rng = np.random.default_rng(3)
+    rows = sorted((int(t), int(v)) for t, v in zip(rng.integers(0, 30, 200) ** 2 // 30, rng.integers(0, 9, 200)))
+    have = collections.defaultdict(set)
+    for t, v in rows:
+        have[t].add(v)
+    want = sorted((t, v, 1 if len(own) <= 3 else 2) for t, own in have.items() if len(own) > 1 for v in own)
+    for size in (1, 2, 3, 7, 500):
+        batches = [pa.RecordBatch.from_pydict({"t": [r[0] for r in rows[i : i + size]], "node": [r[1] for r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()] == want
+
+
+def _thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_repetitive_words_are_told_apart(spark):
+    rows = [_thue_morse(n, *p) for n in (256, 1024, 2048, 4096, 8192) for p in ("ab", "ba", "cd", "dc")]
+    got = ngram_join.jaccard_groups(_docs(spark, enumerate(rows))).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    enc = sentencepieces.Encoder(path)
+    for t in rows:  # one after the other through one cache
+        assert enc.encode(t)[0] == enc.sp.encode(t, add_eos=True)
+    counter = token_counts.TextCounter(public_tokenizers.path("byte_bpe_50k.json"), {})
+    spaced = [f"x {t} y" for t in rows]
+    assert counter.count(pa.array(spaced)).tolist() == [counter.engine.whole(t) for t in spaced]
+
+
+def test_lexicon_parts_equal_hashes():
+    lex = common.Lexicon(lambda w: (np.array([len(x) for x in w], np.int64), []), 50)
+    words = ["a", "bbb", "cc", "a"]
+    same, check = np.full(4, 7, np.uint64), np.array([1, 2, 3, 1], np.uint64)
+    for _ in range(2):
+        entries = lex.lookup(same, check, words.__getitem__)
+        assert lex.size[entries].tolist() == [1, 3, 2, 1]
+
+
+def test_one_per_group_judges_rows(spark):
+    rng = np.random.default_rng(21)
+    a, b = _prose(rng, 60), _prose(rng, 60)
+    near = " ".join(["changed", *a.split()[1:]])
+    rows = [(5, a), (3, a), (5, b), (None, near), (None, "alone here"), (7, b), (7, b), (9, None), (9, None), (None, ""), (2, "tie"), (2, "TIE")]
+    docs = _docs(spark, rows, extra=True).withColumnRenamed("node", "a.b")
+    kept = ngram_join.one_per_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
+    assert got == sorted([(False, 3, a), (False, 5, b), (True, 0, "alone here"), (False, 9, ""), (False, 9, ""), (True, 0, ""), (False, 2, "tie")])
+    assert ngram_join.one_per_group(docs.limit(0)).count() == 0
+    groups = ngram_join.jaccard_groups(_docs(spark, rows)).collect()
+    assert len(groups) == len(rows) and sorted((r.component_id or 0) for r in groups) == [0, 0, 2, 2, 3, 3, 3, 5, 5, 5, 9, 9]
 
 
 def test_sketch_bounds_the_difference():
@@ -125,7 +181,7 @@ def test_runs_stream_over_batches():
 def test_sentencepieces_equal_the_library(spark, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepieces.Encoder(path).sp
-    got = sentencepieces.decode(sentencepieces.encode(_docs(spark, enumerate(texts), extra=True), path), path)
+    got = sentencepieces.decode(sentencepieces.encode(_docs(spark, enumerate(texts), extra=True), path, decoded="same"), path).where("decoded <=> same")
     rows = {r.doc_id: r for r in got.collect()}
     assert len(rows) == len(texts) and rows[0].k == 1
     for i, t in enumerate(texts):
@@ -174,7 +230,7 @@ def test_lexicon_stays_bounded():
     lex = common.Lexicon(lambda w: (np.array([len(x) for x in w], np.int64), []), 50)
     for k in range(20):
         words = [f"{k}-{i}" * (i % 3 + 1) for i in range(40)]
-        entries = lex.lookup(common.chunk_hash(words), words.__getitem__)
+        entries = lex.lookup(*common.chunk_hash(words), words.__getitem__)
         assert lex.size[entries].tolist() == [len(w) for w in words]
         assert len(lex.key) <= 90
 
@@ -210,12 +266,31 @@ def test_repeats_are_exact(spark, texts, monkeypatch, length, piece):
         assert bytes(got[i].kept) == b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2]))
 
 
+def test_ranks_follow_the_order_of_repeated_pairs(spark):
+    rng = np.random.default_rng(30)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 12, (90, 2))]
+    seen = collections.Counter(rows)
+    got = repeats.ranks(spark.createDataFrame(rows, "a long, b long")).orderBy("rank").collect()
+    assert [(r.a, r.b) for r in got] == sorted(x for x in seen if seen[x] > 1) and len({r["rank"] for r in got}) == len(got)
+    for n in (136, 150, 255, 400, 1000):
+        size, one, two = repeats.offsets_of(n)
+        assert size + one + two == n - repeats.WIDE + 1 and one <= size and two <= size + one
+
+
 def test_repeats_of_repeated_rows(spark):
     rng = np.random.default_rng(8)
     t = _prose(rng, 200)
     got = repeats.remove_repeats(_docs(spark, [(1, t), (1, t), (2, "short"), (2, None)])).collect()
     assert sorted(len(r.kept) for r in got) == [0, 0, 0, 5] and len(got) == 4
     assert repeats.remove_repeats(_docs(spark, [])).count() == 0
+    odd = _docs(spark, [(None, t), (3, t)]).withColumn("removed", F.lit("mine")).withColumn("f0", F.lit(7))
+    got = repeats.remove_repeats(odd, removed="gone", kept="left").collect()
+    assert {(r.removed, r.f0, len(r.left), len(r.gone)) for r in got} == {("mine", 7, 0, 1)}
+    # period doubling: repeats of all lengths, and none
+    words = [_thue_morse(n, *p) for n in (512, 2048) for p in ("ab", "ba", "cd")]
+    want = _brute_repeats([w.encode() for w in words], 400)
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in repeats.remove_repeats(_docs(spark, enumerate(words))).collect()}
+    assert [got[i] for i in range(len(words))] == want
 
 
 def _labelled(spark, sf):
@@ -463,5 +538,49 @@ def test_pipeline_stages(spark, sf_dir):
     assert set(docs.columns) < set(out.columns) and {r.doc_id for r in out.collect()} <= clean
 
 
+def test_odd_column_names(spark):
+    rows = [(1, "one two three four five six", 2), (None, None, 3), (2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").select("doc_id", "text", F.col("n").alias("a.b"), F.lit("w").alias("__words"), F.lit("t").alias("__text"), F.lit(1).alias("f0"), F.lit(2).alias("keep"), F.lit(3).alias("`x`"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, graded(none), "grade")
+    out = {
+        "encode": sentencepieces.decode(sentencepieces.encode(docs, path), path),
+        "toxicity": toxicity.score(docs, toxicity.fit(docs, none.withColumnRenamed("quality", "low_quality"), ["low_quality", "toxic"]), ["low_quality", "toxic"]),
+        "quality": quality.score(docs, model, 1),
+        "lm": lm_window.score(docs, lm_window.fit(docs)),
+        "repeats": repeats.remove_repeats(docs),
+        "groups": ngram_join.one_per_group(docs),
+    }
+    for name, df in out.items():
+        got = df.collect()
+        assert len(got) == 3 and [c for c in docs.columns if c != "keep"] == [c for c in df.columns if c in docs.columns and c != "keep"], name
+        assert sorted((r["a.b"] or 0, r["__words"], r["__text"], r["f0"], r["`x`"]) for r in got) == [(0, "w", "t", 1, 3), (2, "w", "t", 1, 3), (3, "w", "t", 1, 3)], name
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(41)
+    passage = _prose(rng, 150)
+    near = _prose(rng, 120)
+    texts = [None, "", " ", _prose(rng, 30), near, near + " tail", f"{_prose(rng, 60)} {passage}", f"{passage} {_prose(rng, 60)}", _prose(rng, 4000)]
+    rows = [(i if i != 3 else None, t, "en", None, len(t or "")) for i, t in enumerate(texts)] + [(4, near, "en", "s", len(near))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, table in (("some", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(table, schema).withColumn("kept", F.lit("mine")).withColumn("removed", F.lit(1)).withColumn("keep", F.lit(2)).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([(1, _prose(rng, 40)), (2, None), (3, "")], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        got = pipeline.run(spark, str(d)).collect()
+        if not table:
+            assert not got
+            continue
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+        # 5 is a near copy of 4, whose repeated row goes; null, empty and blank texts stay
+        assert ids == [(False, 0), (False, 1), (False, 2), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
+        assert all(r.kept == "mine" and r.removed == 1 and r.keep == 2 for r in got)
+        assert {r.doc_id: passage in (r.text or "") for r in got}[6] is False and all(r.n_chars == len(r.text or "") for r in got)
+
+
 def test_oracles_name_queries():
     assert set(ORACLES) <= set(QUERIES) and all(any(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11))

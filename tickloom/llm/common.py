@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,18 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of text that a worker takes at once.
+SLICE = 1 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-#: One odd random word per byte value; upper-case A-Z share the word of their lower-case letter.
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE_CI = _BYTE.copy()
-_BYTE_CI[65:91] = _BYTE[97:123]
-_BASE = _U(0x9E3779B97F4A7C55)
-_BASE_INV = _U(pow(int(_BASE), -1, 2**64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,20 +34,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: dict[int, np.ndarray] = {}
-_POWERS_KEPT = 4 << 20
+#: Runs longer than this many bytes are hashed by the library.
+LONG = 2048
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = [(_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)), (_U(0xA24BAED4963EE407), _U(0x8EBC6AF09C88C6E3))]
 
 
-def powers(n: int, base: np.uint64) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1); up to _POWERS_KEPT of them are kept by the worker."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= _POWERS_KEPT:
-            _powers[int(base)] = have
-    return have[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of ``data`` on as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def run_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray, fold_case: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run data[st:en].
+
+    Blocks of 8 bytes are folded in by xor, multiply and shift, so there is no polynomial whose roots repetitive strings
+    could hit. Two seeds give independent hashes: both together are 128 bits.
+    """
+    if fold_case:
+        data = _LOWER[data]
+    at = eights(data)
+    start, step = _SEEDS[seed]
+    n = en - st
+    h = n.astype(np.uint64) * step + start
+    todo, off = np.flatnonzero((n > 0) & (n <= LONG)), 0
+    whole = len(todo) == len(n)
+    while len(todo):
+        left = n - off if whole else n[todo] - off
+        block = at[st + off] if whole else at[st[todo] + off]
+        block &= _MASK[np.minimum(left, 8)]
+        if whole:
+            h ^= block
+            h *= step
+            h ^= h >> _U(29)
+        else:
+            x = (h[todo] ^ block) * step
+            h[todo] = x ^ (x >> _U(29))
+        more = left > 8
+        if not more.all():
+            todo, whole = todo[more], False
+        off += 8
+    for k in np.flatnonzero(n > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[st[k] : en[k]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return mix(h)
 
 
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,20 +117,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _IS_S
     return st, en, np.searchsorted(st, offsets)
 
 
-def range_hash(prefix: np.ndarray, inv: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Polynomial hash of data[lo:hi] from prefix sums (see ``prefix_sums``)."""
-    return (prefix[hi] - prefix[lo]) * inv[lo]
-
-
-def prefix_sums(data: np.ndarray, fold_case: bool = False, table: np.ndarray | None = None, base: np.uint64 = _BASE, base_inv: np.uint64 = _BASE_INV) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data)
-    value = (table if table is not None else (_BYTE_CI if fold_case else _BYTE))[data]
-    value *= powers(n, base)
-    out = np.zeros(n + 1, np.uint64)
-    np.cumsum(value, out=out[1:])
-    return out, powers(n + 1, base_inv)
-
-
 def shingles(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles of every row and row offsets (n + 1).
 
@@ -117,8 +131,7 @@ def shingles(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(sizes, out=out_off[1:])
     if len(st) == 0:
         return np.empty(0, np.uint64), out_off
-    prefix, inv = prefix_sums(data, fold_case=True)
-    words = mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64))
+    words = run_hashes(data, st, en, fold_case=True)
     step = _U(0xD6E8FEB86659FD93)
     padded = np.concatenate([words, np.zeros(k - 1, np.uint64)])
     run = np.zeros(len(words), np.uint64)
@@ -149,7 +162,7 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(sizes)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text is at most about ``limit`` bytes (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -170,15 +183,41 @@ def i64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a /tmp one where unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a /tmp one on a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints"
+
+
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session with bounded Arrow batches: a session setting, as plans read it when they run; a smaller bound that is set already stays."""
+    size = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").rstrip("b").replace("m", "000000").replace("k", "000"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it back: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
+    """Write to a Parquet table in the shared folder and read it back: lineage is cut, executors may be lost.
+
+    The shuffle files of the write are deleted at its end. The setting holds for the write only: rows that are fetched later, as by
+    toLocalIterator, would miss files that are gone.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark).rstrip('/')}/tickloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -190,6 +229,42 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called f0, f1 ..., so that no name clashes with an operator's own, and the names."""
+    names = df.columns
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"f{j}") for j, c in enumerate(names)]), names
+
+
+def named(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns of ``aside`` under their own names again, then ``more``."""
+    return df.select(*[F.col(f"f{j}").alias(c) for j, c in enumerate(names)], *more)
+
+
+def add_columns(docs: DataFrame, text_col: str, added: list[tuple[str, T.DataType]], make, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with columns (name, type) that ``make(texts)``, a list of Arrow arrays, gives for a slice of the text column.
+
+    Of the columns of ``docs`` all stay, or those named in ``keep``; such as are named like added ones are replaced. Names may
+    hold any characters.
+    """
+    spark, names, own = lean(docs.sparkSession), docs.columns, [c for c, _ in added]
+    kept = [j for j, c in enumerate(names) if c not in own and (keep is None or c in keep)]
+    pick = lambda j: F.col("`" + names[j].replace("`", "``") + "`")
+    text = names.index(text_col)
+    cols = [pick(j).alias(f"f{j}") for j in kept]
+    at = kept.index(text) if text in kept and docs.schema[text].dataType == T.StringType() else len(kept)
+    if at == len(kept):
+        cols.append(pick(text).cast("string").alias("text"))
+    src = docs.select(*cols)
+    schema = T.StructType(src.schema.fields[: len(kept)] + [T.StructField(f"a{j}", kind) for j, (_, kind) in enumerate(added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *make(part.column(at))], names=schema.names)
+
+    out = src.mapInArrow(run, schema)
+    return out.select(*[F.col(f"f{j}").alias(names[j]) for j in kept], *[F.col(f"a{j}").alias(c) for j, c in enumerate(own)])
+
+
 BLOOM_WORDS = 1 << 17
 
 
@@ -210,18 +285,18 @@ def maybe_in(df: DataFrame, filter_: DataFrame) -> DataFrame:
     return out.withColumn("__maybe", F.col("__b0") & F.col("__b1")).drop("__w0", "__w1", "__b0", "__b1")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (a, b): rows (node, component = smallest node reachable).
 
     Min-label hooking with pointer jumping: each round every node takes the smallest label in its
     neighbourhood, then the label of its label; labels are re-read from the shared folder, so the plan stays
     short. Partial aggregation runs before each shuffle, so a node with many edges is no hot spot.
-    Nodes without edges do not appear. The driver only sees a count of changed labels.
+    Nodes without edges do not appear. Labels only fall, so the rounds end; the driver sees whether any has changed.
     """
     spark = edges.sparkSession
     both = materialize(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         new = labels.join(near, "node").select("node", F.least("label", "low").alias("step"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
@@ -231,9 +306,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(spark, labels)
         labels = new.select("node", "label")
         if not moved:
+            release(spark, both)
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
@@ -241,9 +315,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 class Lexicon:
-    """A bounded worker cache from 64-bit string hashes to encodings, read by whole batches with numpy.
+    """A bounded worker cache from strings to encodings, read by whole batches with numpy.
 
-    ``make(words)`` returns (sizes, [flat arrays]): the encodings of the words one behind the other. Entries
+    A string is known by two independent 64-bit hashes: the first finds its entry, the second must agree; a string whose
+    first hash is taken by another one gets an entry of its own. ``make(words)`` returns (sizes, [flat arrays]): the encodings of the words one behind the other. Entries
     made by ``pin`` are never dropped; of the others the less used half goes when there are ``limit`` of them.
     Hashes sit in an open-addressing table of at most half load.
     """
@@ -255,6 +330,7 @@ class Lexicon:
         self.flat: list[np.ndarray] = []
         self.used = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.uint64)
         self._rehash(1 << 16)
 
     def _rehash(self, slots: int) -> None:
@@ -286,10 +362,11 @@ class Lexicon:
             open_, slot = open_[left], slot[left]
         return out
 
-    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         sizes, flat = self.make(words)
         old = len(self.key)
         self.key = np.concatenate([self.key, hashes])
+        self.check = np.concatenate([self.check, checks])
         self.size = np.concatenate([self.size, sizes])
         self.flat = [np.concatenate([a, b]) for a, b in zip(self.flat, flat, strict=True)] if self.flat else list(flat)
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
@@ -303,25 +380,32 @@ class Lexicon:
         own = self.used[self.fixed :]
         keep = np.concatenate([np.arange(self.fixed), self.fixed + np.sort(np.argsort(-own, kind="stable")[: self.limit // 2])])
         self.flat = [self.gather(a, keep) for a in self.flat]
-        self.size, self.used, self.key = self.size[keep], self.used[keep] // 2, self.key[keep]
+        self.size, self.used, self.key, self.check = self.size[keep], self.used[keep] // 2, self.key[keep], self.check[keep]
         self.start = np.cumsum(self.size) - self.size
         self._rehash(self.slots)
 
-    def pin(self, hashes: np.ndarray, words: list[str]) -> None:
-        self._add(hashes, words)
+    def pin(self, hashes: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        self._add(hashes, checks, words)
         self.fixed = len(self.key)
 
-    def lookup(self, hashes: np.ndarray, word) -> np.ndarray:
-        """The entry of each hash; ``word(k)`` gives the k-th string. Entries hold until the next call."""
+    def lookup(self, hashes: np.ndarray, checks: np.ndarray, word) -> np.ndarray:
+        """The entry of each string; ``word(k)`` gives the k-th one. Entries hold until the next call."""
         if len(self.key) - self.fixed > self.limit:
             self._shrink()
+        entries = self._entries(hashes, checks, word)
+        self.used += np.bincount(entries, minlength=len(self.used))
+        return entries
+
+    def _entries(self, hashes: np.ndarray, checks: np.ndarray, word) -> np.ndarray:
         entries = self._find(hashes)
         miss = np.flatnonzero(entries < 0)
         if len(miss):
             new, first = np.unique(hashes[miss], return_index=True)
-            self._add(new, [word(k) for k in miss[first].tolist()])
+            self._add(new, checks[miss][first], [word(k) for k in miss[first].tolist()])
             entries[miss] = self._find(hashes[miss])
-        self.used += np.bincount(entries, minlength=len(self.used))
+        other = np.flatnonzero(self.check[entries] != checks)
+        if len(other):
+            entries[other] = self._entries(mix(hashes[other] + checks[other]), checks[other], lambda k: word(other[k]))
         return entries
 
     def gather(self, flat: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -377,12 +461,12 @@ def unsafe_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return bad
 
 
-def chunk_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
-    prefix, inv = prefix_sums(data)
-    return mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64) * _BASE)
+def chunk_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every run."""
+    return run_hashes(data, st, en), run_hashes(data, st, en, seed=1)
 
 
-def chunk_hash(words: list[str]) -> np.ndarray:
+def chunk_hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [w.encode() for w in words]
     en = np.cumsum([len(r) for r in raw]).astype(np.int64)
     return chunk_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], en[:-1]]).astype(np.int64), en)

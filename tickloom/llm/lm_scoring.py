@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, i64, mix, prefix_sums, range_hash, slices, string_buffer, word_bounds
+from .common import _U, i64, mix, run_hashes, slices, string_buffer, word_bounds
 
 SIZE = 128
 BUCKETS = 40
@@ -36,9 +36,8 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and ending bucket of every word, and row offsets."""
     data, offsets = string_buffer(column)
     st, en, first = word_bounds(data, offsets)
-    prefix, inv = prefix_sums(data, fold_case=True)
-    word = mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64))
-    tail = mix(range_hash(prefix, inv, np.maximum(st, en - 2), en) ^ _U(0x1B873593)) % _U(BUCKETS)
+    word = run_hashes(data, st, en, True)
+    tail = mix(run_hashes(data, np.maximum(st, en - 2), en, True) ^ _U(0x1B873593)) % _U(BUCKETS)
     return word, tail.astype(np.int64), first
 
 

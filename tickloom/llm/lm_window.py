@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Lexicon, i64, materialize, mix, prefix_sums, range_hash, release, slices, string_buffer, word_bounds
+from .common import Lexicon, add_columns, i64, materialize, release, run_hashes, slices, string_buffer, word_bounds
 
 SPAN = 2
 HIDDEN = 16
@@ -48,8 +49,7 @@ class Words:
     def __init__(self, column: pa.Array):
         self.data, offsets = string_buffer(column)
         self.st, self.en, self.first = word_bounds(self.data, offsets)
-        prefix, inv = prefix_sums(self.data, fold_case=True)
-        self.hash = mix(range_hash(prefix, inv, self.st, self.en) + (self.en - self.st).astype(np.uint64))
+        self.hash = run_hashes(self.data, self.st, self.en, fold_case=True)
 
     def neighbours(self, ids: np.ndarray) -> np.ndarray:
         """ids of the words at each offset, 0 beyond a text's edge; shape (words, 2 SPAN)."""
@@ -366,20 +366,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood (sum) and mean_log_prob (null without tokens)."""
-    own = ("n_tokens", "log_likelihood", "mean_log_prob")
-    keep = [c for c in docs.columns if c not in own]
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("log_likelihood", "double")
+def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_tokens, log_likelihood (sum) and mean_log_prob (null without tokens); of its own columns all, or those named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = keep.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            words = Words(batch.column(at))
-            n = np.diff(words.first)
-            rows = np.repeat(np.arange(batch.num_rows), n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.bincount(rows, shared.value.score(words), batch.num_rows))], names=[*keep, "n_tokens", "log_likelihood"])
-
-    out = docs.select(*keep).mapInArrow(run, schema)
-    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    def make(texts: pa.Array) -> list[pa.Array]:
+        words = Words(texts)
+        n = np.diff(words.first)
+        total = np.bincount(np.repeat(np.arange(len(n)), n), shared.value.score(words), len(n))
+        return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)]
+
+    return add_columns(docs, text_col, [("n_tokens", T.LongType()), ("log_likelihood", T.DoubleType()), ("mean_log_prob", T.DoubleType())], make, columns)

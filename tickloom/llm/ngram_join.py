@@ -1,37 +1,45 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
 A document's set are its distinct shingles of five words (all words as one with fewer); two documents link when
-intersection / union >= 4/5. Documents with equal sets are one node, so exact copies cost one row.
+intersection / union >= 4/5. Documents with equal sets are one node, so exact copies cost one row. A pair at the threshold
+shares at least ceil(4n/5) of either set, so of a set of n at most floor(n/5) shingles may be lacking in the other.
 
-Candidates. A pair at the threshold shares at least ceil(4n/5) of either set, so a set lacks at most e = n - ceil(4n/5)
-of the other's. Sets are ordered by (class, hash), where the class says how frequent a shingle is in the corpus: 1 rare,
-2 frequent, 3 very frequent. A prefix indexes single shingles of class 1, but k-combinations of class k, formed inside
-buckets of its shingles; m shingles of a bucket count m - k + 1, and the prefix is extended until the counts exceed e. Then
+Who can link at all. Every shingle whose hash lies under TAU of the hash range is indexed by one shuffle, and so has its exact
+document frequency. A shingle that only one node has is lacking in every other one, so a node with more than floor(n/5) such
+shingles links with nothing and goes; most documents end here. The rest is indexed again, with all its shingles.
+
+Candidates. A set's shingles are ordered by (class, hash): those of one node, rare ones (2 to FEW nodes), frequent ones (more), very
+frequent ones (a share of the corpus, by a counting sketch). A prefix indexes single shingles of rare class, but
+2- or 3-combinations of the frequent classes, formed inside buckets of its shingles; m shingles of a bucket count m - k + 1,
+those of one node count each and are not indexed, and the prefix is extended until the counts exceed floor(n/5). Then
 a pair shares a signature: of the two prefixes take the one that ends first in the order; what it shares with the other
-set lies in the other prefix too, and with less than k shared in every bucket more than e would be lacking. The number of
-buckets follows the set's size class, and a set near the upper end of its class also signs for the next one, as its larger
-partners do. Sets of less than SMALL shingles index single shingles of all classes. Class bounds shape the order
-only; the result doesn't depend on them.
+set lies in the other prefix too, and with less than k shared in every bucket more than floor(n/5) would be lacking. The number
+of buckets follows the set's size class, and a set near the upper end of its class also signs for the next one, as its larger
+partners do. Sets of less than SMALL shingles index single shingles of all classes. Class bounds shape the order only; the
+result doesn't depend on them.
 
-Frequent shingles are found by a counting sketch: tasks send the cells that are heavy among their own documents, the sums
-give the class of a cell, and at most about avg(n) / PHI cells can be heavy, whatever the corpus' size.
+Very frequent shingles are found by a counting sketch: tasks send the cells that are heavy among their own documents, the sums
+give the class of a cell, and at most about avg(n) / PHI cells can be heavy, whatever the corpus' size. They are not indexed
+alone: each counts as shared.
 
 Links without pairs. Signature lists are long where thousands of documents are near copies, and all their pairs must not be
 emitted. So each list first proposes only (member, pivot), the pivot being the list's least node in a random priority;
 proposals are verified exactly and connected components found. Lists inside one component are settled. In the others all
 members but those of the largest component meet every member of another component, so no link between components is lost;
-pairs whose parity sketches prove them below the threshold are dropped before their texts are fetched. Verification
+pairs whose sizes or parity sketches prove them below the threshold are dropped before their texts are fetched. Verification
 compares the exact shingle sets of the texts (64-bit hashes).
 
 Lists of frequent shingles' signatures are salted in the first round, so a signature held by a third of all rows is
 spread, and its salted pivots meet in a second step.
 
 Defined results: null, empty and blank texts have n_shingles 0 and link with nothing; equal rows link with each other
-(if they have words); ids are whole numbers, repeated ids are rows of their own; other columns stay out of the result.
+(if they have words); ids are whole numbers or null, repeated ids are rows of their own, and a group's component_id is its
+smallest id that is not null (null if it has none); other columns stay out of the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,13 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, bloom, components, i64, materialize, maybe_in, mix, release, shingles, slices
+from .common import _U, aside, bloom, components, i64, lean, materialize, maybe_in, mix, named, release, shingles, slices
 
 NUM, DEN = 4, 5
 CELLS = 1 << 22
 PHI = (1 / 1000, 1 / 20)
 LEAST = 64
 SMALL = 32
+TAU = 0.3
+FEW = 16
 SALTS = 32
 SKETCH_BITS = (512, 1 << 16)
 
@@ -62,27 +72,29 @@ def _regimes(n: int) -> list[int]:
     return sorted({regime(n), regime(n * DEN // NUM)})
 
 
-def signatures(s: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set (sorted distinct hashes, classes 1 to 3) and whether each is of a frequent class."""
-    n = len(s)
+def signatures(n: int, alone: int, s: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n shingles and whether each is of a frequent class.
+
+    ``alone`` of the shingles occur in no other set; ``s`` are the others (distinct hashes), of classes 1 to 3.
+    """
     order = np.lexsort((s, cls))
     s, cls = s[order], cls[order]
     error = n - needed(n)
-    rare = int(np.searchsorted(cls, 2))
-    if rare > error:
-        return s[: error + 1], np.zeros(error + 1, bool)
+    rare, take = int(np.searchsorted(cls, 2)), max(0, error + 1 - alone)
+    if rare >= take:
+        return s[:take], np.zeros(take, bool)
     out: list[np.ndarray] = []
     hot: list[np.ndarray] = []
     for regime in _regimes(n):
         if regime == 0:
-            out.append(s[: error + 1])
-            hot.append(cls[: error + 1] > 1)
+            out.append(s[:take])
+            hot.append(cls[:take] > 1)
             continue
         buckets = max(1, (1 << regime) // 64)
         bucket = np.where(cls > 1, (mix(s ^ _U(0xC2B2AE3D)) % _U(buckets)).astype(np.int64), 0)
         held: dict[tuple[int, int], list[int]] = {}
-        count, end = rare, rare
-        while count <= error and end < n:
+        count, end = alone + rare, rare
+        while count <= error and end < len(s):
             k = int(cls[end])
             mine = held.setdefault((k, int(bucket[end])), [])
             mine.append(int(s[end]))
@@ -122,11 +134,9 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _identity(s: np.ndarray) -> int:
-    """A 64-bit identity of a set."""
-    a = np.bitwise_xor.reduce(mix(s * _U(0x8EBC6AF09C88C6E3)), keepdims=True)
-    b = mix(s ^ _U(0x589965CC75374CC3)).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(a * _U(0x1D8E4E27C47D124F) + b + _U(len(s))).view(np.int64)[0])
+def _identity(s: np.ndarray) -> bytes:
+    """A 128-bit identity of a set (sorted distinct hashes)."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -158,23 +168,105 @@ def heavy_cells(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _signed(docs: DataFrame, classes) -> tuple[DataFrame, DataFrame]:
-    """(id, n, node) of every document, and (sig, hot, node) of every document with a set."""
+def row_key(id_col: str, text_col: str):
+    """A 128-bit identity of a row's id and text; nulls are told from empty texts."""
+    text = F.coalesce(F.concat(F.lit("="), F.col(text_col).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]), pa.int32())
+    return pa.ListArray.from_arrays(off, pa.array(i64(np.concatenate(arrays))))
+
+
+def _indexed(src: DataFrame, classes) -> DataFrame:
+    """(id, rk, n, set, node, toks) of every row: size, identity (null without words), its first half, and the shingles under TAU that aren't very frequent."""
+    top = _U(int(TAU * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = classes.value
-        for batch in slices(batches, "text", 2 << 20):
-            n, node, sig, hot = [], [], [], []
-            for s in _sets(batch.column(1)):
-                n.append(len(s))
-                node.append(_identity(s) if len(s) else None)
-                a, b = signatures(s, cls[(s & _U(CELLS - 1)).astype(np.int64)]) if len(s) else (s, np.empty(0, bool))
-                sig.append(i64(a))
-                hot.append(b)
-            off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sig])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in (sig, hot)]], names=["id", "n", "node", "sig", "hot"])
+        for batch in slices(batches, "text"):
+            sets = list(_sets(batch.column(2)))
+            names = [_identity(s) if len(s) else None for s in sets]
+            low = [s[: np.searchsorted(s, top)] for s in sets]
+            toks = [s[cls[(s & _U(CELLS - 1)).astype(np.int64)] == 1] for s in low]
+            node = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(node, pa.int64()), _lists(toks)], names=["id", "rk", "n", "set", "node", "toks"])
+
+    return src.select("id", "rk", "text").mapInArrow(run, "id long, rk binary, n long, set binary, node long, toks array<long>")
 
-    return docs.mapInArrow(run, "id long, n long, node long, sig array<long>, hot array<boolean>")
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (t, node) rows -> (t, node, cls) of shingles with two nodes or more, equal rows once; cls 1 with at most FEW nodes, else 2.
+
+    Streams: of a run at most FEW rows are held back until its class is known.
+    """
+    last, tail, held, long = (None, None), None, np.empty(0, np.int64), False
+    batch_of = lambda t, node, cls: pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(cls.astype(np.int8))], names=["t", "node", "cls"])
+    for batch in batches:
+        t, node = (np.asarray(batch.column(c), np.int64) for c in ("t", "node"))
+        if not len(t):
+            continue
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (node[1:] != node[:-1])
+        fresh[0] = (t[0], node[0]) != last
+        last = (t[-1], node[-1])
+        t, node = t[fresh], node[fresh]
+        if len(held):
+            t, node = np.concatenate([np.full(len(held), tail), t]), np.concatenate([held, node])
+        if not len(t):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff(np.append(edge, len(t)))
+        cls = np.where(size > FEW, 2, (size > 1).astype(np.int64))
+        if long and t[0] == tail:
+            cls[0] = 2
+        long, tail = bool(cls[-1] == 2), t[-1]
+        held = np.empty(0, np.int64)
+        if not long:
+            held, cls[-1] = node[edge[-1] :], 0
+        each = np.repeat(cls, size)
+        out = each > 0
+        if out.any():
+            yield batch_of(t[out], node[out], each[out])
+    if len(held) > 1:
+        yield batch_of(np.full(len(held), tail), held, np.ones(len(held)))
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, cls, t) sorted by node and cls -> (sig, hot, node).
+
+    cls -2 and -1 bring the set's size and how many of its shingles were indexed; 1 and 2 are indexed ones that others have, 4 and 5
+    very frequent ones. A set is held until its last row has come.
+    """
+    rest = None
+
+    def signed(node: np.ndarray, cls: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        sigs, hots, own = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
+            n, indexed = int(t[lo]), int(t[lo + 1])
+            c = cls[lo + 2 : hi]
+            alone = indexed - int((c < 3).sum())
+            if alone > n - needed(n):
+                continue
+            sig, hot = signatures(n, alone, t[lo + 2 : hi].view(np.uint64), np.where(c > 3, c - 2, c))
+            sigs.append(sig)
+            hots.append(hot)
+            own.append(np.full(len(sig), node[lo]))
+        return pa.RecordBatch.from_arrays([pa.array(i64(np.concatenate(sigs))), pa.array(np.concatenate(hots)), pa.array(np.concatenate(own))], names=["sig", "hot", "node"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [np.asarray(batch.column(c), np.int64) for c in ("node", "cls", "t")]
+        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield signed(*[x[:cut] for x in now])
+        rest = [x[cut:] for x in now]
+    if rest is not None and len(rest[0]):
+        yield signed(*rest)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,33 +344,61 @@ def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The signature rows with the component of their node."""
-    comp = components(links)
-    return lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """Rows of the signatures whose nodes lie in more than one component, with the signature's largest component."""
+def _unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of the signatures whose nodes lie in more than one component of ``links``, with their own and the signature's largest component."""
+    rows = lists.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = rows.groupBy("sig", "component").agg(F.count("*").alias("m"))
     best = size.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
     # a table of its own, so that AQE can split the rows of a long list in the join
-    return rows.join(materialize(best.select("sig", F.col("top.component").alias("main")), "unsettled"), "sig")
+    return materialize(rows.join(materialize(best.select("sig", F.col("top.component").alias("main")), "unsettled"), "sig"), "open")
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, n, node) of every document (node null without words), and verified links (a, b) between nodes.
+def _candidates(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (id, rk, n, set), and the nodes (node, set, n, sketch, text, cold, hot, cls) that may link: one row for each set."""
+    spark = src.sparkSession
+    classes = spark.sparkContext.broadcast(heavy_cells(src.select("text")))
+    indexed = materialize(_indexed(src, classes), "sets")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = indexed.where("node is not null").select("node", F.explode("toks").alias("t"))
+    shared = rows.repartition(parts, "t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte").groupBy("node").agg(F.count("*").alias("others"))
+    members = materialize(indexed.select("id", "rk", "n", "set", "node", F.size("toks").alias("m")), "members")
+    shared = materialize(shared, "shared")
+    release(spark, indexed)
+    sets = members.where("node is not null").groupBy("set").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("node").alias("node"))
+    open_ = sets.join(shared, "node", "left").where(F.col("m") - F.coalesce("others", F.lit(0)) <= F.expr(f"n div {DEN}"))
+    chosen = materialize(open_.select("rk", "set"), "chosen")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = classes.value
+        for batch in slices(batches, "text"):
+            own = list(_sets(batch.column(1)))
+            cls = [heavy[(s & _U(CELLS - 1)).astype(np.int64)] for s in own]
+            cold = _lists([s[c == 1] for s, c in zip(own, cls, strict=True)])
+            hot = [(s[c > 1], c[c > 1].astype(np.int64)) for s, c in zip(own, cls, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s) for s in own], pa.binary()), batch.column(1), cold, *[_lists([h[j] for h in hot]) for j in (0, 1)]], names=["set", "n", "sketch", "text", "cold", "hot", "cls"])
+
+    # only documents that the bounded filter lets through are shuffled; equal rows once
+    some = maybe_in(src.withColumn("k", F.col("rk")), bloom(chosen.select(F.col("rk").alias("k")))).where("__maybe").select("rk", "text").dropDuplicates(["rk"])
+    nodes = some.join(chosen, "rk").select("set", "text").mapInArrow(run, "set binary, n long, sketch binary, text string, cold array<long>, hot array<long>, cls array<long>")
+    return members.drop("node", "m"), materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The members and nodes of ``src`` (id, rk, text), and verified links (a, b) between nodes.
 
     The links connect exactly what all links would; a list of near copies gives its pivots' links, not all pairs.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = spark.sparkContext.broadcast(heavy_cells(src.select("text")))
-    signed = _signed(src, classes)
-    members = materialize(signed.select("id", "n", "node"), "members")
-
+    spark = lean(src.sparkSession)
+    members, nodes = _candidates(src)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = signed.where("node is not null").select("node", F.explode(F.arrays_zip("sig", "hot")).alias("s")).select("s.sig", "s.hot", "node")
+    rows = nodes.select("node", F.explode("cold").alias("t"))
+    shared = rows.repartition(parts, "t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte")
+    # very frequent shingles count as shared; size and number of indexed shingles come first
+    every = nodes.select("node", F.explode(F.arrays_zip("hot", "cls")).alias("h")).select("node", (F.col("h.cls") + 2).cast("byte").alias("cls"), F.col("h.hot").alias("t"))
+    size = nodes.select("node", F.explode(F.array(F.struct(F.lit(-2).cast("byte").alias("cls"), F.col("n").alias("t")), F.struct(F.lit(-1).cast("byte").alias("cls"), F.size("cold").cast("long").alias("t")))).alias("h")).select("node", "h.*")
+    all_ = shared.select("node", "cls", "t").unionByName(every).unionByName(size)
+    flat = materialize(all_.repartition(parts, "node").sortWithinPartitions("node", "cls").mapInArrow(_sign, "sig long, hot boolean, node long"), "signatures")
+
     flat = flat.withColumn("prio", F.xxhash64("node"))
     salted = flat.repartition(parts, "sig", F.when(F.col("hot"), F.pmod("prio", F.lit(SALTS))).otherwise(0))
     runs = materialize(salted.sortWithinPartitions("sig", "prio", "node").select("sig", "hot", "prio", "node").mapInArrow(_runs, "sig long, hot boolean, node long, pivot long"), "runs")
@@ -287,66 +407,85 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     top = materialize(top, "heads")
     hot = runs.where("hot").join(top, "sig")
     lists = materialize(runs.where("not hot").select("sig", "node", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "head")), "lists")
-    release(spark, runs)
-
-    active = lists.select("node").distinct()
-    chosen = members.join(active, "node").groupBy("node").agg(F.min("id").alias("id"))
-    nodes = _nodes(src, chosen)
+    release(spark, flat, runs, top)
 
     pair = lambda p: p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # first the pivot that most of a node's lists propose: one text fetched a node
     star = lists.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"))
     found = _verify(pair(star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))), nodes)
     # then all pivots of the lists that this left apart
-    open_ = materialize(_unsettled(_labelled(lists.select("sig", "node", "head"), found)), "open")
+    open_ = _unsettled(lists, found)
+    release(spark, lists)
+    if not open_.limit(1).count():
+        return members, nodes, found
     home = open_.select(F.col("node").alias("head"), F.col("component").alias("home")).distinct()
     apart = open_.join(home, "head").where("component <> home").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = found.union(_verify(pair(apart), nodes))
-    # a second pivot for what is still apart
-    open_ = materialize(_unsettled(_labelled(open_.select("sig", "node"), found)), "open")
-    lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("p"), F.col("node").alias("pivot"))).alias("top")).select("sig", F.col("top.pivot").alias("pivot"))
-    again = _verify(pair(open_.join(lead, "sig").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes)
-    found = found.union(again)
-    # whatever is still apart meets in full: all but the largest component against every other one
-    open_ = materialize(_unsettled(_labelled(open_.select("sig", "node"), found)), "open")
-    x = open_.where("component <> main").select("sig", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = _verify(pair(x.join(y, "sig").where("ca <> cb").select("a", "b")), nodes)
-    return members, found.union(rest)
-
-
-def _nodes(src: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, n, sketch and text of the chosen nodes, each from one document that has its set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = list(_sets(batch.column(0)))
-            ok = np.array([len(s) > 0 and _identity(s) == k for s, k in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
-            bits = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in sets], pa.int64()), bits, batch.column(0)], names=["node", "n", "sketch", "text"]).filter(pa.array(ok))
-
-    # only documents that the bounded filter lets through are shuffled
-    some = maybe_in(src.withColumn("k", F.col("id")), bloom(chosen.select(F.col("id").alias("k")))).where("__maybe").select("id", "text")
-    got = some.join(chosen, "id").select("text", "node").mapInArrow(run, "node long, n long, sketch binary, text string")
-    nodes = materialize(got, "nodes")
-    # an id may stand for several rows; any that has the set will do
-    if nodes.count() > nodes.select("node").distinct().count():
-        nodes = materialize(nodes.dropDuplicates(["node"]), "nodes")
-    return nodes
+    # further pivots for what is still apart
+    for k in range(1, 3):
+        was, open_ = open_, _unsettled(open_.select("sig", "node"), found)
+        release(spark, was)
+        if not open_.limit(1).count():
+            return members, nodes, found
+        lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("p"), F.col("node").alias("pivot"), F.col("component").alias("home"))).alias("top"))
+        lead = materialize(lead.select("sig", "top.pivot", "top.home"), "pivots")
+        found = found.union(_verify(pair(open_.join(lead, "sig").where("component <> home").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
+        release(spark, lead)
+    # whatever is still apart meets in full, if sizes allow: all but the largest component against every other one
+    was, open_ = open_, _unsettled(open_.select("sig", "node"), found)
+    release(spark, was)
+    sized = materialize(open_.join(nodes.select("node", "n"), "node"), "sized")
+    x = sized.where("component <> main").select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    y = sized.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    met = x.join(y, (x.sig == y.sig) & (x.ca != y.cb) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")))
+    found = found.union(_verify(pair(met.select("a", "b")), nodes))
+    release(spark, open_, sized)
+    return members, nodes, found
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The members (id, rk, n, set), and for every set its group (one of the group's sets)."""
+    at = lambda c: f"`{c}`"
+    src = docs.select(F.col(at(id_col)).cast("long").alias("id"), row_key(at(id_col), at(text_col)).alias("rk"), F.col(at(text_col)).cast("string").alias("text"))
+    members, nodes, found = links(src)
+    comp = components(found)
+    name = nodes.select("node", "set")
+    # labels come back as sets: nodes that link with nothing have none
+    roots = comp.join(name, "node").select("component", "set").join(name.select(F.col("node").alias("component"), F.col("set").alias("root")), "component")
+    sets = members.where("set is not null").select("set").distinct()
+    groups = materialize(sets.join(roots.select("set", "root"), "set", "left").select("set", F.coalesce("root", "set").alias("root")), "groups")
+    release(docs.sparkSession, nodes, found, comp)
+    return members, groups
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id), one per row of ``docs``; component_id is the smallest id reachable by links."""
-    members, found = links(docs, id_col, text_col)
-    comp = components(found)
-    at = members.join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    low = at.where("node is not null").groupBy("root").agg(F.min("id").alias("low"))
-    out = at.join(low, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    members, groups = _groups(docs, id_col, text_col)
+    least = members.where("set is not null").groupBy("set").agg(F.min("id").alias("least"))
+    low = groups.join(least, "set").groupBy("root").agg(F.min("least").alias("low"))
+    # by set, as a table: a set may have a third of all rows, which AQE can split
+    by_set = materialize(groups.join(low, "root").select("set", "low"), "lows")
+    out = members.where("set is not null").join(by_set, "set").select("id", "n", "low").unionByName(members.where("set is null").select("id", "n", F.col("id").alias("low")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the smallest id; of rows that share it, the first in the order of all columns."""
-    groups = jaccard_groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(groups, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    """``docs`` with one row of each group: the smallest id (null last), of rows that share it the least by a hash of the text.
+
+    Rows of equal id and text are one row's repeats, of which any one stays. Rows without words stay, each.
+    """
+    spark = lean(docs.sparkSession)
+    members, groups = _groups(docs, id_col, text_col)
+    each = members.where("set is not null").groupBy("set", "rk").agg(F.first("id").alias("id"), F.count("*").alias("times")).join(groups, "set")
+    pick = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rk")).alias("p")).select("root", F.col("p.rk").alias("keep"))
+    each = each.join(pick, "root").select("rk", "times", (F.col("rk") == F.col("keep")).alias("stays"))
+    odd = materialize(each.where("not stays or times > 1").select("rk", "stays"), "dropped")
+    release(spark, groups)
+    flat, names = aside(docs)
+    own = {c: f"f{j}" for j, c in enumerate(names)}
+    keyed = maybe_in(flat.withColumn("k", row_key(own[id_col], own[text_col])), bloom(odd.select(F.col("rk").alias("k"))))
+    sure = keyed.where("not __maybe").select(*own.values())
+    judged = keyed.where("__maybe").join(odd, F.col("k") == F.col("rk"), "left")
+    other = judged.where("stays is null").select(*own.values())
+    once = judged.where("stays").dropDuplicates(["rk"]).select(*own.values())
+    return named(sure.unionByName(other).unionByName(once), names)

@@ -15,14 +15,12 @@ repeated rows are scored each; extra columns stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import add_columns
 from .textmodel import BITS, Rows, adam, labelled, means, score_texts, sigmoid, word_features
 
 TRAIN_ROWS = 6000
@@ -89,20 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id",
     return fit_rows(means(rows), y[grade])
 
 
-def score(docs: DataFrame, model: OrdinalModel, pass_grade: float, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with expected_grade, pass_probability (tail from pass_grade on) and keep."""
-    own = ("expected_grade", "pass_probability", "keep")
-    keep = [c for c in docs.columns if c not in own]
-    schema = docs.select(*keep).schema.add("expected_grade", "double").add("pass_probability", "double")
+def score(docs: DataFrame, model: OrdinalModel, pass_grade: float, keep_at: float = 0.5, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with expected_grade, pass_probability (tail from pass_grade on) and keep; of its own columns all, or those named."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = keep.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         m = shared.value
-        for batch in slices(batches, text_col):
-            (s,) = score_texts(batch.column(at), [m.weights])
-            cut = int(np.searchsorted(m.grades, pass_grade)) - 1
-            tail = np.ones(len(s)) if cut < 0 else np.zeros(len(s)) if cut >= len(m.thresholds) else m.tails(s)[:, cut]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.expected(s)), pa.array(tail)], names=[*keep, "expected_grade", "pass_probability"])
+        (s,) = score_texts(texts, [m.weights])
+        cut = int(np.searchsorted(m.grades, pass_grade)) - 1
+        tail = np.ones(len(s)) if cut < 0 else np.zeros(len(s)) if cut >= len(m.thresholds) else m.tails(s)[:, cut]
+        return [pa.array(m.expected(s), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep_at)]
 
-    return docs.select(*keep).mapInArrow(run, schema).withColumn("keep", F.col("pass_probability") >= keep_at)
+    return add_columns(docs, text_col, [("expected_grade", T.DoubleType()), ("pass_probability", T.DoubleType()), ("keep", T.BooleanType())], make, columns)

@@ -29,13 +29,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), path)
-    decoded = sentencepieces.decode(encoded.select("doc_id", "ids"), path)
-    return decoded.select(
+    encoded = sentencepieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), path, decoded="decoded", columns=["doc_id"])
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("span_end", -1).cast("long").alias("n_bytes"),
     )
 
 
@@ -43,7 +43,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["begin"]))
-    return out.select("doc_id", (F.octet_length("kept") + n_removed).cast("long").alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", (F.octet_length("kept") + n_removed).cast("long").alias("n_bytes"), n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("removed") > 0).alias("has_repeats"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     labels = _labels(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     links = toxicity.fit(docs, labels, TOXIC_CHAIN)
-    return toxicity.score(docs, links, TOXIC_CHAIN).drop("text")
+    return toxicity.score(docs, links, TOXIC_CHAIN, columns=["doc_id"])
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, graded(_labels(spark, sf_dir)), "grade")
-    return quality.score(docs, model, pass_grade=1).drop("text")
+    return quality.score(docs, model, pass_grade=1, columns=["doc_id"])
 
 
 SHARD_BYTES = 1 << 20
@@ -141,7 +141,7 @@ FROM embeddings LEFT JOIN low ON low.node = vec_id LEFT JOIN n ON n.node = vec_i
 @_query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    return lm_window.score(docs, lm_window.fit(docs)).drop("text")
+    return lm_window.score(docs, lm_window.fit(docs), columns=["doc_id"])
 
 
 ORACLES["op1_ngram_join"] = f"""

@@ -1,25 +1,29 @@
 """Suffix-array dedup of long byte strings by distributed prefix doubling over sampled suffixes.
 
 A byte goes when a string of ``length`` (400) bytes that covers it also starts anywhere else, in any document.
-The suffix array is built as far as that needs, and no further: positions are ranked by prefixes at growing offsets,
-in each round Spark groups (rank so far, fingerprint of the next stretch) pairs over all documents, and only positions
-whose rank isn't unique go on, until the prefix passes the threshold.
+The suffix array is built as far as that needs, and no further: sampled positions are ranked by a short prefix, Spark sorts
+the pairs (rank, rank at an offset) at growing offsets, equal pairs get one new rank, and only positions whose rank isn't
+unique go on, until the prefix passes the threshold.
 
 Ranking all positions of a corpus costs more shuffle than the corpus itself, so suffixes are sampled by content.
 The leftmost least of the hashed 8-grams of a window of ``length`` bytes is its anchor, a function of the window's own
-bytes, so equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a block. All
-windows of a block share a core; two windows can be equal only if their blocks' cores are.
-
-round 1: blocks of up to 128 windows, core of length - 127 bytes. Blocks with a unique core hold no repeat and go.
-         Where the whole stretch of a block occurs twice, all its windows are repeats, settled as one row; one
-         copy of a settled stretch stays in play where blocks with its core are open.
-round 2: what is left is cut into blocks of up to 16 windows, core of length - 15 bytes; same rule.
-round 3: what is left is ranked window by window: the core's rank and the few bytes beside it.
-
-All comparisons of round 1 and 2 are on 128 bits of (core, stretch) hashes, those of round 3 on (core, bytes). Counts
-combine map-side; rows meet their counts in joins that AQE can split, so a passage in a third of the documents is
-no hot spot. Texts are read three times; only documents that a bounded Bloom filter (1 MB, whatever the corpus) lets
-through are shuffled.
+bytes, so equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a block of up to
+128 windows. All windows of a block share its core of length - 127 bytes, the suffix that is ranked; two windows can be
+equal only if their blocks' cores are. With the core the sample holds the places inside it that the offsets lead to.
+
+Offsets, for 400 bytes:  0  rank of 69 bytes, by their hash; what is unique goes.
+                        68  (rank, rank at 68) -> rank of 137 bytes, at the core's start and at its place 136.
+                       136  (rank, rank at 136) -> rank of the core's 273 bytes.
+                            Where the whole stretch of a block occurs twice, all its windows are repeats, settled as one row;
+                            one copy of a settled stretch stays in play where blocks with its core are open.
+                     +-112  what is left is cut into blocks of up to 16 windows; (rank, place, ranks of the bytes on either
+                            side) -> rank of 385 bytes; same rule.
+                      +-15  what is left is ranked window by window: (rank, place, bytes on either side), 400 bytes.
+
+First ranks and the bytes on either side are 64-bit hashes, four and two of them independent in a core's and a block's rank.
+Counts combine map-side, only distinct pairs are sorted, and rows meet their ranks in joins that AQE can split, so a passage
+in a third of the documents is no hot spot. Texts are read three times; only documents that a bounded Bloom filter (1 MB,
+whatever the corpus) lets through are shuffled. A row is known by 128 bits of its id and text.
 
 Defined results: null is the empty text; shorter texts than ``length`` are kept whole; equal rows are repeats of
 each other, ids may repeat; other columns stay; an empty table gives an empty result.
@@ -35,40 +39,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _U, bloom, i64, materialize, maybe_in, mix, prefix_sums, range_hash, release, slices, string_buffer
+from .common import aside, bloom, eights, i64, lean, materialize, maybe_in, mix, release, run_hashes, slices, string_buffer
 
 GRAM = 8
 WIDE, NARROW = 128, 16
 PIECE = 1 << 20
 
 
-def _hash(sums: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-    salt = np.asarray(salt).astype(np.uint64)
-    return mix(range_hash(*sums, lo, hi) + (hi - lo).astype(np.uint64) * _U(0xA24BAED4963EE407) + salt * _U(0x9FB21C651E98DF25))
+KEY = ["k", "l"]
+HASHES = ["h0", "h1", "h2", "h3"]
+
+
+def offsets_of(length: int) -> tuple[int, int, int]:
+    """Bytes of the first prefix and the two offsets that double it to a core of length - WIDE + 1 bytes."""
+    core = length - WIDE + 1
+    half = -(-core // 2)
+    first = -(-half // 2)
+    return first, half - first, core - half
 
 
-def anchors(sums: tuple[np.ndarray, np.ndarray], n: int, length: int) -> np.ndarray:
+def anchors(data: np.ndarray, length: int) -> np.ndarray:
     """For every window start p <= n - length the position of the leftmost least 8-gram inside the window."""
-    at = np.arange(n - GRAM + 1)
-    gram = mix(range_hash(*sums, at, at + GRAM))
-    key = (gram & _U(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    n = len(data)
+    at = np.arange(n - GRAM + 1, dtype=np.uint64)
+    key = (mix(eights(data)[: len(at)]) & np.uint64(0xFFFFFFFF00000000)) | at
     m = length - GRAM + 1
     pad = -len(key) % m
     full = np.concatenate([key, np.full(pad, 2**64 - 1, np.uint64)]).reshape(-1, m)
     ahead = np.minimum.accumulate(full, axis=1).reshape(-1)
     behind = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     low = np.minimum(behind[: n - length + 1], ahead[m - 1 : m - 1 + n - length + 1])
-    return (low & _U(0xFFFFFFFF)).astype(np.int64)
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def wide_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Round 1: row, place (first window, from the row's start), n windows, c (block end, from the row's start), core, stretch."""
-    names = ("row", "place", "n", "c", "core", "stretch")
+    """Blocks: row, place (first window, from the row's start), n windows, c (start of the core), h0 to h3 (first ranks at the core's sampled places), stretch."""
     n = len(data)
     if n < length:
-        return {k: np.empty(0, np.uint64 if k in names[4:] else np.int64) for k in names}
-    sums = prefix_sums(data)
-    anchor = anchors(sums, n, length)
+        return {k: np.empty(0, np.int64) for k in ("row", "place", "n", "c", *HASHES, "stretch")}
+    anchor = anchors(data, length)
     p = np.arange(len(anchor))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     inside = p + length <= offsets[1:][row]
@@ -81,12 +90,14 @@ def wide_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str,
     lo, hi, row = p[first], p[last], row[first]
     c = anchor[first] - WIDE * block[first]
     base = offsets[row]
-    return {"row": row, "place": lo - base, "n": hi - lo + 1, "c": c - base, "core": _hash(sums, c, c + length - WIDE + 1, block[first]), "stretch": _hash(sums, lo, hi + length, c - lo)}
+    size, one, two = offsets_of(length)
+    ranks = {h: run_hashes(data, c + d, c + d + size) for h, d in zip(HASHES, (0, one, two, one + two), strict=True)}
+    # a stretch is told apart by where the core lies in it
+    return {"row": row, "place": lo - base, "n": hi - lo + 1, "c": c - base, **ranks, "stretch": mix(run_hashes(data, lo, hi + length, seed=1) + (c - lo).astype(np.uint64))}
 
 
 def narrow_blocks(data: np.ndarray, place: np.ndarray, n: np.ndarray, c: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Round 2, within one text: the given blocks cut at c, c - NARROW, ...; left and right are the bytes beside the core."""
-    sums = prefix_sums(data)
+    """Within one text: the given blocks cut at c, c - NARROW, ...; src is the block, d how far its core is extended to the left, left and right the ranks of the bytes beside the core."""
     lo_m, hi_m = (c - (place + n - 1)) // NARROW, (c - place) // NARROW
     count = hi_m - lo_m + 1
     src = np.repeat(np.arange(len(place)), count)
@@ -94,24 +105,25 @@ def narrow_blocks(data: np.ndarray, place: np.ndarray, n: np.ndarray, c: np.ndar
     end = c[src] - NARROW * m
     lo = np.maximum(place[src], end - NARROW + 1)
     hi = np.minimum(place[src] + n[src] - 1, end)
-    return {"place": lo, "n": hi - lo + 1, "c": end, "core": _hash(sums, end, end + length - NARROW + 1, 1), "stretch": _hash(sums, lo, hi + length, end - lo)}
+    left, right = run_hashes(data, end, c[src]), run_hashes(data, c[src] + length - WIDE + 1, end + length - NARROW + 1)
+    return {"src": src, "place": lo, "n": hi - lo + 1, "c": end, "d": NARROW * m, "left": left, "right": right, "stretch": mix(run_hashes(data, lo, hi + length, seed=1) + (end - lo).astype(np.uint64))}
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs more than once.
+def ranks(pairs: DataFrame, name: str = "rank") -> DataFrame:
+    """The distinct rows of ``pairs`` that occur more than once, sorted, with a rank that follows their order.
 
-    The counts are a table of their own, so the join is between two plain shuffles and AQE can split a hot key's rows.
+    A table of its own, so that the join with its rows is between two plain shuffles and AQE can split a hot pair's rows.
     """
-    counts = materialize(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "counts")
-    return rows.join(counts, keys)
+    keys = pairs.columns
+    repeated = pairs.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)
+    return materialize(repeated.orderBy(*keys).withColumn(name, F.monotonically_increasing_id()), "ranks")
 
 
-def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a repeated core, told apart by whether the whole stretch repeats: (repeats, open ones)."""
-    alive = materialize(_repeated(rows, ["core"]), name)
+def _settle(alive: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (with core, a rank that isn't unique) told apart by whether the whole stretch repeats: (repeats, open ones)."""
     whole = materialize(alive.groupBy("core", "stretch").agg(F.count("*").alias("__n")).where("__n > 1"), "counts")
     marked = materialize(alive.join(whole, ["core", "stretch"], "left"), name)
-    release(rows.sparkSession, alive)
+    release(alive.sparkSession, whole)
     return marked.where("__n is not null").drop("__n"), marked.where("__n is null").drop("__n")
 
 
@@ -124,50 +136,66 @@ def _with_samples(sure: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(keyed: DataFrame, length: int = 400) -> DataFrame:
-    """Rows (k, ranges): for each text key with repeats its window ranges (place, n). ``keyed`` has k and text."""
+    """Rows (k, l, ranges): for each text key with repeats its window ranges (place, n). ``keyed`` has k, l and text."""
+    spark = keyed.sparkSession
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            data, off = string_buffer(batch.column(1))
+            data, off = string_buffer(batch.column(2))
             # a text longer than PIECE comes alone and is taken piece by piece, so memory doesn't follow its length
             for at in range(0, max(1, len(data) - length + 1) if batch.num_rows == 1 else 1, PIECE):
                 part = data[at : at + PIECE + length - 1] if batch.num_rows == 1 else data
                 b = wide_blocks(part, np.array([0, len(part)]) if batch.num_rows == 1 else off, length)
                 place = [pa.array((b[x] + (at if x != "n" else 0)).astype(np.int32)) for x in ("place", "n", "c")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b["row"])), *place, *[pa.array(i64(b[x])) for x in ("core", "stretch")]], names=["k", "place", "n", "c", "core", "stretch"])
-
-    schema = "k long, place int, n int, c int, core long, stretch long"
-    rows = materialize(keyed.select("k", "text").mapInArrow(first, schema), "wide")
-    sure, open_ = _settle(rows, "wide")
-    release(keyed.sparkSession, rows)
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(pa.array(b["row"])) for j in (0, 1)], *place, *[pa.array(i64(b[x])) for x in (*HASHES, "stretch")]], names=[*KEY, "place", "n", "c", *HASHES, "stretch"])
+
+    schema = "k long, l long, place int, n int, c int, "
+    rows = materialize(keyed.select(*KEY, "text").mapInArrow(first, schema + "h0 long, h1 long, h2 long, h3 long, stretch long"), "wide")
+    # offset 0: first ranks
+    once = ranks(rows.select("h0"))
+    alive = materialize(rows.join(once.select("h0"), "h0"), "alive")
+    release(spark, rows, once)
+    # the first offset, at both places that the second one needs
+    pair = lambda a, b: alive.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    twice = ranks(pair("h0", "h1").union(pair("h2", "h3")))
+    at = lambda a, b, name: twice.select(F.col("a").alias(a), F.col("b").alias(b), F.col("rank").alias(name))
+    doubled = materialize(alive.join(at("h0", "h1", "r0"), ["h0", "h1"]).join(at("h2", "h3", "r1"), ["h2", "h3"]).drop(*HASHES), "alive")
+    release(spark, alive, twice)
+    # the second offset: the whole core
+    cores = ranks(doubled.select("r0", "r1"), "core")
+    sure, open_ = _settle(doubled.join(cores, ["r0", "r1"]).drop("r0", "r1"), "cores")
+    release(spark, doubled)
 
     open_ = materialize(_with_samples(sure, open_), "open")
-    todo = open_.groupBy("k").agg(F.collect_list(F.struct("place", "n", "c")).alias("blocks"))
-    some = maybe_in(keyed.select("k", "text"), bloom(open_.select("k"))).where("__maybe").select("k", "text")
+    todo = open_.groupBy(*KEY).agg(F.collect_list(F.struct("place", "n", "c", "core")).alias("blocks"))
+    some = maybe_in(keyed.select(*KEY, "text"), bloom(open_.select("k"))).where("__maybe").select(*KEY, "text")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, off = string_buffer(batch.column(1))
+            data, off = string_buffer(batch.column(2))
             for r in range(batch.num_rows):
                 text = data[off[r] : off[r + 1]]
-                todo = batch.column(2)[r].values
-                b = narrow_blocks(text, *[np.asarray(todo.field(x), np.int64) for x in ("place", "n", "c")], length)
-                core, c = length - NARROW + 1, b["c"]
-                lead = np.maximum(c - (NARROW - 1), 0)
+                place, n, c, core = (np.asarray(batch.column(3)[r].values.field(x), np.int64) for x in ("place", "n", "c", "core"))
+                b = narrow_blocks(text, place, n, c, length)
+                end, size = b["c"], length - NARROW + 1
                 raw = text.tobytes()
-                left = [raw[x:y] for x, y in zip(lead.tolist(), c.tolist(), strict=True)]
-                right = [raw[y + core : y + length] for y in c.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), batch.column(0)[r].as_py())), *[pa.array(b[x].astype(np.int32)) for x in ("place", "n", "c")], *[pa.array(i64(b[x])) for x in ("core", "stretch")], pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["k", "place", "n", "c", "core", "stretch", "left", "right"])
-
-    fine = materialize(some.join(todo, "k").mapInArrow(second, schema + ", left binary, right binary"), "narrow")
-    sure2, open2 = _settle(fine, "narrow")
-    release(keyed.sparkSession, fine)
+                before = [raw[x:y] for x, y in zip(np.maximum(end - (NARROW - 1), 0).tolist(), end.tolist(), strict=True)]
+                behind = [raw[y + size : y + length] for y in end.tolist()]
+                key = [pa.array(np.full(len(end), batch.column(j)[r].as_py())) for j in (0, 1)]
+                numbers = [pa.array(b[x].astype(np.int32)) for x in ("place", "n", "c", "d")]
+                yield pa.RecordBatch.from_arrays([*key, *numbers, pa.array(core[b["src"]]), *[pa.array(i64(b[x])) for x in ("left", "right", "stretch")], pa.array(before, pa.binary()), pa.array(behind, pa.binary())], names=[*KEY, "place", "n", "c", "d", "wide", "left", "right", "stretch", "before", "behind"])
+
+    fine = materialize(some.join(todo, KEY).mapInArrow(second, schema + "d int, wide long, left long, right long, stretch long, before binary, behind binary"), "narrow")
+    sides = ["wide", "d", "left", "right"]
+    sure2, open2 = _settle(fine.join(ranks(fine.select(*sides), "core"), sides).drop(*sides), "narrow")
+    release(spark, fine, open_)
     # a window j bytes left of the core's start is the core with j bytes before it and NARROW - 1 - j behind it
     each = _with_samples(sure2, open2).withColumn("j", F.explode(F.sequence(F.col("c") - F.col("place") - F.col("n") + 1, F.col("c") - F.col("place"))))
-    each = each.select("k", (F.col("c") - F.col("j")).alias("place"), F.lit(1).alias("n"), "core", "j", F.expr("substring(left, length(left) - j + 1, j)").alias("before"), F.expr(f"substring(right, 1, {NARROW - 1} - j)").alias("behind"))
-    each = _repeated(each, ["core", "j", "before", "behind"])
-    ranges = [x.select("k", "place", "n") for x in (sure, sure2, each)]
-    return ranges[0].union(ranges[1]).union(ranges[2]).groupBy("k").agg(F.sort_array(F.collect_set(F.struct("place", "n"))).alias("ranges"))
+    each = each.select(*KEY, (F.col("c") - F.col("j")).alias("place"), F.lit(1).alias("n"), "core", "j", F.expr("substring(before, length(before) - j + 1, j)").alias("before"), F.expr(f"substring(behind, 1, {NARROW - 1} - j)").alias("behind"))
+    window = ["core", "j", "before", "behind"]
+    each = each.join(ranks(each.select(*window)), window)
+    ranges = [x.select(*KEY, "place", "n") for x in (sure, sure2, each)]
+    return ranges[0].union(ranges[1]).union(ranges[2]).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("place", "n"))).alias("ranges"))
 
 
 def merged(place: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,36 +207,38 @@ def merged(place: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, n
     return place[first], end[np.append(first[1:], len(place)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with removed (array of (begin, end) byte runs) and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed", kept: str = "kept") -> DataFrame:
+    """``docs`` with removed (array of (begin, end) byte runs) and kept (the remaining bytes), under the given names, in place of columns of these names."""
     if length < WIDE + GRAM:
         raise ValueError(f"length must be at least {WIDE + GRAM}")
-    keep = [c for c in docs.columns if c not in ("removed", "kept")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(id_col), text)
-    keyed = docs.select(key.alias("k"), text.alias("text")).where(F.octet_length("text") >= length)
+    lean(docs.sparkSession)
+    src, names = aside(docs)
+    own = {c: f"f{j}" for j, c in enumerate(names)}
+    text = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
+    key = [F.xxhash64(F.col(own[id_col]), text).alias("k"), F.xxhash64(text, F.col(own[id_col]), F.lit(1)).alias("l")]
+    keyed = src.select(*key, text.alias("text")).where(F.octet_length("text") >= length)
     ranges = materialize(repeated_ranges(keyed, length), "ranges")
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"f{j}") for j, c in enumerate(keep)], key.alias("k"), text.alias("text"))
-    split = maybe_in(plain, bloom(ranges.select("k")))
+    names = [c for c in names if c not in (removed, kept)]
+    fields = [own[c] for c in names]
+    split = maybe_in(src.select(*fields, *key, text.alias("text")), bloom(ranges.select("k")))
     runs = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    fields = [f"f{j}" for j in range(len(keep))]
     whole = split.where(~F.col("__maybe")).select(*fields, F.array().cast(runs).alias("removed"), F.col("text").cast("binary").alias("kept"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches, "text"):
-            removed, kept = [], []
+            gone, left = [], []
             for raw, todo in zip(batch.column("text"), batch.column("ranges"), strict=True):
                 raw = raw.as_py().encode()
                 if not todo.is_valid:
-                    removed.append([])
-                    kept.append(raw)
+                    gone.append([])
+                    left.append(raw)
                     continue
                 a, b = merged(*[np.asarray(todo.values.field(x), np.int64) for x in ("place", "n")], length)
-                removed.append([{"begin": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-                kept.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*fields, "removed", "kept"])
+                gone.append([{"begin": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                left.append(b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(gone, kind), pa.array(left, pa.binary())], names=[*fields, "removed", "kept"])
 
-    maybe = split.where("__maybe").drop("__maybe").join(ranges, "k", "left").select(*fields, "text", "ranges")
+    maybe = split.where("__maybe").drop("__maybe").join(ranges, KEY, "left").select(*fields, "text", "ranges")
     out = whole.unionByName(maybe.mapInArrow(cut, whole.schema))
-    return out.select(*[F.col(f"f{j}").alias(c) for j, c in enumerate(keep)], "removed", "kept")
+    return out.select(*[F.col(f).alias(c) for f, c in zip(fields, names, strict=True)], F.col("removed").alias(removed), F.col("kept").alias(kept))

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lexicon, chunk_bounds, chunk_hashes, slices, string_buffer
+from .common import Lexicon, add_columns, aside, chunk_bounds, chunk_hashes, lean, string_buffer
 
 MARK = "▁"
-CACHE_ENTRIES = 300_000
-SLICE = 2 << 20
+CACHE_ENTRIES = 200_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -225,7 +224,7 @@ class Encoder:
         ids = b = e = np.empty(0, np.int64)
         if len(st):
             lex = self.lexicon
-            entry = lex.lookup(chunk_hashes(data, st, en), lambda k: text(st[k], en[k]))
+            entry = lex.lookup(*chunk_hashes(data, st, en), lambda k: text(st[k], en[k]))
             size = lex.size[entry]
             ids, e = lex.gather(lex.flat[0], entry), lex.gather(lex.flat[1], entry).astype(np.int64)
             # piece ends count from the segment's mark, which lies at st - 1
@@ -280,33 +279,33 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", add_end: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", add_end: bool = True, decoded: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with columns ids, span_begin, span_end (array<int>): source bytes [begin, end) of every piece.
 
-    Columns of these names in ``docs`` are replaced.
+    Columns of these names in ``docs`` are replaced; of the others all stay, or those named. ``decoded`` names a further column for
+    the library's decode(ids), made in the same worker.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "span_begin", "span_end")]
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = docs.select(*keep).schema
-    for name in ("ids", "span_begin", "span_end"):
-        schema = schema.add(name, T.ArrayType(T.IntegerType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         enc = _encoder(path)
-        for part in slices(batches, "__text", SLICE):
-            n, *flat = enc.encode_many(part.column(part.num_columns - 1), add_end)
-            off = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-            cols = [pa.ListArray.from_arrays(off, pa.array(f)) for f in flat]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*keep, "ids", "span_begin", "span_end"])
+        n, *flat = enc.encode_many(texts, add_end)
+        off = np.concatenate([[0], np.cumsum(n)])
+        cols = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(f)) for f in flat]
+        if decoded:
+            cols.append(pa.array([enc.sp.decode(flat[0][a:b].tolist()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string()))
+        return cols
 
-    return src.mapInArrow(run, schema)
+    added = [(name, T.ArrayType(T.IntegerType())) for name in ("ids", "span_begin", "span_end")]
+    return add_columns(docs, text_col, added + ([(decoded, T.StringType())] if decoded else []), make, columns)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text that the library's decode(ids) gives; null ids give null."""
-    keep = [c for c in encoded.columns if c != out_col]
-    at = keep.index(ids_col)
-    schema = encoded.select(*keep).schema.add(out_col, "string")
+    """``encoded`` with the text that the library's decode(ids) gives; null ids give null. A column of that name is replaced."""
+    lean(encoded.sparkSession)
+    src, names = aside(encoded)
+    keep = [f"f{j}" for j, c in enumerate(names) if c != out_col]
+    at = keep.index(f"f{names.index(ids_col)}")
+    schema = src.select(*keep).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _encoder(path).sp
@@ -314,6 +313,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [None if x is None else sp.decode(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*keep, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    out = src.select(*keep).mapInArrow(run, schema)
+    return out.select(*[F.col(f).alias(names[int(f[1:])]) for f in keep], F.col("decoded").alias(out_col))

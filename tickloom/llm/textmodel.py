@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, i64, mix, prefix_sums, range_hash, slices, string_buffer, word_bounds
+from .common import _U, i64, mix, run_hashes, slices, string_buffer, word_bounds
 
 BITS = 17
 SCALE = 20.0
@@ -23,12 +23,11 @@ def word_features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tu
     whole and its length doesn't matter.
     """
     st, en, first = word_bounds(data, offsets)
-    prefix, inv = prefix_sums(data, fold_case=True)
     top = _U(64 - bits)
     out = np.empty((len(st), 4), np.int32)
-    out[:, 0] = mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64)) >> top
+    out[:, 0] = run_hashes(data, st, en, True) >> top
     tail = np.maximum(st, en - 3)
-    out[:, 1] = mix(range_hash(prefix, inv, tail, en) ^ _U(0x51ED270B)) >> top
+    out[:, 1] = mix(run_hashes(data, tail, en, True) ^ _U(0x51ED270B)) >> top
     out[:, 2] = mix(np.minimum(en - st, 40).astype(np.uint64) ^ _U(0x7F4A7C15)) >> top
     same = np.zeros(len(st), np.uint64)
     same[1:] = out[1:, 0] == out[:-1, 0]
@@ -44,16 +43,15 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 def term_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys of every run of letters and digits (case folded), of its stems of 4 and 5 bytes and of words' last three bytes; row offsets."""
-    prefix, inv = prefix_sums(data, fold_case=True)
     st, en, first = word_bounds(data, offsets, _APART)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    keys, rows = [mix(range_hash(prefix, inv, st, en) + (en - st).astype(np.uint64))], [row]
+    keys, rows = [run_hashes(data, st, en, True)], [row]
     for size in (4, 5):
         long = en - st > size
-        keys.append(mix(range_hash(prefix, inv, st[long], st[long] + size) ^ _U(0x6C8E9CF5 + size)))
+        keys.append(mix(run_hashes(data, st[long], st[long] + size, True) ^ _U(0x6C8E9CF5 + size)))
         rows.append(row[long])
     st, en, other = word_bounds(data, offsets)
-    keys.append(mix(range_hash(prefix, inv, np.maximum(st, en - 3), en) ^ _U(0x51ED270B)))
+    keys.append(mix(run_hashes(data, np.maximum(st, en - 3), en, True) ^ _U(0x51ED270B)))
     rows.append(np.repeat(np.arange(len(offsets) - 1), np.diff(other)))
     row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
@@ -110,7 +108,7 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             keys, first = features(*string_buffer(batch.column(1)))
-            keys = keys.reshape(len(keys), -1)
+            keys = keys.reshape(len(keys), keys.shape[1] if keys.ndim > 1 else 1)
             cols, values = [], []
             for r in range(batch.num_rows):
                 c, k = np.unique(keys[first[r] : first[r + 1]], return_counts=True)

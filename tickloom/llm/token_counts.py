@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, chunk_bounds, chunk_hash, chunk_hashes, slices, string_buffer, unsafe_rows
+from .common import Lexicon, chunk_bounds, chunk_hash, chunk_hashes, run_hashes, slices, string_buffer, unsafe_rows
 
 #: Characters that all engines class alike.
 _COMMON = re.compile(r"[\x00-\u024f]*", re.ASCII)
 CACHE_ENTRIES = 500_000
 LOCAL_COUNTER = 40_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class _ByteLevel:
@@ -132,7 +132,7 @@ class TextCounter:
         if frequent:
             words = list(frequent)
             make, self.lexicon.make = self.lexicon.make, lambda w: (np.array([frequent[x] for x in w], np.int64), [])
-            self.lexicon.pin(chunk_hash(words), words)
+            self.lexicon.pin(*chunk_hash(words), words)
             self.lexicon.make = make
 
     def count(self, column: pa.Array) -> np.ndarray:
@@ -151,7 +151,7 @@ class TextCounter:
         rest[first[:-1]] = False
         st, en = st[rest], en[rest]
         if len(st):
-            size = self.lexicon.lookup(chunk_hashes(data, st, en), lambda k: text(st[k], en[k]))
+            size = self.lexicon.lookup(*chunk_hashes(data, st, en), lambda k: text(st[k], en[k]))
             total = np.concatenate([[0], np.cumsum(self.lexicon.size[size])])
             bound = np.concatenate([[0], np.cumsum(rest)])[first]
             out += np.diff(total[bound])
@@ -178,7 +178,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", size: i
             rest = np.repeat(apart, np.diff(first))
             rest[first[:-1]] = False
             st, en = st[rest], en[rest]
-            key, at, n = np.unique(chunk_hashes(data, st, en), return_index=True, return_counts=True)
+            key, at, n = np.unique(run_hashes(data, st, en), return_index=True, return_counts=True)
             top = np.argsort(-n, kind="stable")[:LOCAL_COUNTER]
             for k in top[~np.isin(key[top], seen[0])].tolist():
                 words.setdefault(int(key[k]), data[st[at[k]] : en[at[k]]].tobytes().decode())

@@ -19,14 +19,12 @@ extra columns stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _U, i64, slices, string_buffer
+from .common import _U, add_columns, i64, string_buffer
 from .textmodel import Rows, adam, labelled, sigmoid, term_keys
 
 TRAIN_ROWS = 6000
@@ -127,23 +125,13 @@ def chain_logits(links: list[Link], keys: np.ndarray, first: np.ndarray) -> np.n
     return out
 
 
-def score(docs: DataFrame, links: list[Link], categories: list[str], threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with p_<category> for each category and is_<category> = (p >= threshold)."""
-    own = [f"{x}_{c}" for c in categories for x in ("p", "is")]
-    keep = [c for c in docs.columns if c not in own]
-    schema = docs.select(*keep).schema
-    for c in categories:
-        schema = schema.add(f"p_{c}", "double")
-    schema = schema.add("__words", "long")
+def score(docs: DataFrame, links: list[Link], categories: list[str], threshold: float = 0.5, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with p_<category> for each category and is_<category> = (p >= threshold); of its own columns all, or those named."""
     shared = docs.sparkSession.sparkContext.broadcast(links)
-    at = keep.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            keys, first = term_keys(*string_buffer(batch.column(at)))
-            p = sigmoid(chain_logits(shared.value, i64(keys), first))
-            cols = [pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(categories))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols, pa.array(np.diff(first))], names=[*keep, *[f"p_{c}" for c in categories], "__words"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        keys, first = term_keys(*string_buffer(texts))
+        p = np.ascontiguousarray(sigmoid(chain_logits(shared.value, i64(keys), first)).T)
+        return [pa.array(x, pa.float64()) for x in p] + [pa.array((x >= threshold) & (np.diff(first) > 0)) for x in p]
 
-    out = docs.select(*keep).mapInArrow(run, schema)
-    return out.withColumns({f"is_{c}": (F.col(f"p_{c}") >= threshold) & (F.col("__words") > 0) for c in categories}).drop("__words")
+    return add_columns(docs, text_col, [*[(f"p_{c}", T.DoubleType()) for c in categories], *[(f"is_{c}", T.BooleanType()) for c in categories]], make, columns)
