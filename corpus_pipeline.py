@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, ngram_join, quality, repeats, sentencepieces
-from tickloom.llm.common import shared_dir
+from tickloom.llm.common import aside, named, release, shared_dir
 from tickloom.llm.queries import graded
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,12 +24,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of an acceptable grade is at least one half stay."""
     model = quality.fit(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), "grade")
-    return quality.score(docs, model, pass_grade=1).where("keep").select(*docs.columns)
+    flat, names = aside(docs)
+    return named(quality.score(flat, model, pass_grade=1, text_col=f"f{names.index('text')}").where("keep"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    return ngram_join.one_per_group(docs).select(*docs.columns)
+    return ngram_join.one_per_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +39,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character cut in two goes whole.
     """
 
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flat, names = aside(docs)
+    doc_id, text, size = (f"f{names.index(c)}" for c in ("doc_id", "text", "n_chars"))
+    own, schema = flat.columns, flat.schema
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
-            at = batch.schema.names
-            yield pa.RecordBatch.from_arrays([kept if c == "text" else batch.column(c) for c in at if c != "kept"], names=[c for c in at if c != "kept"])
+            yield pa.RecordBatch.from_arrays([kept if c == text else batch.column(c) for c in own], names=own)
 
-    out = repeats.remove_repeats(docs)
-    same = out.where(F.size("removed") == 0).select(*docs.columns)
-    cut = out.where((F.size("removed") > 0) & (F.octet_length("kept") > 0)).select(*docs.columns, "kept").mapInArrow(text, docs.schema)
-    return same.unionByName(cut.where("length(trim(text)) > 0").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    out = repeats.remove_repeats(flat, id_col=doc_id, text_col=text)
+    same = out.where(F.size("removed") == 0).select(*own)
+    cut = out.where((F.size("removed") > 0) & (F.octet_length("kept") > 0)).select(*[F.lit(None).cast("string").alias(c) if c == text else c for c in own], "kept").mapInArrow(decoded, schema)
+    return named(same.unionByName(cut.where(F.length(F.trim(text)) > 0).withColumn(size, F.length(text).cast(schema[size].dataType))), names)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,13 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what each stage returns is written to the shared folder, read again and then deleted, but for the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/tickloom-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
-        out.write.parquet(f"{base}/{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+        out.write.parquet(f"{base}-{k}")
+        if k:
+            release(spark, docs)
+        docs = spark.read.schema(out.schema).parquet(f"{base}-{k}")
     return docs
