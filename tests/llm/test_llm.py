@@ -79,8 +79,10 @@ def _brute_groups(texts):
 
 @pytest.mark.parametrize("heavy", [None, 3])
 def test_ngram_join_is_exact(spark, texts, monkeypatch, heavy):
-    if heavy:  # many frequent shingles, so that combinations carry the search
+    if heavy:  # many frequent shingles, so that combinations carry the search; lists of many parts
         monkeypatch.setattr(ngram_join, "LEAST", heavy)
+        monkeypatch.setattr(ngram_join, "FEW", heavy)
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
     sets, comp = _brute_groups(texts)
     got = {r.doc_id: r for r in ngram_join.jaccard_groups(_docs(spark, enumerate(texts), extra=True)).collect()}
     assert len(got) == len(texts)
@@ -161,6 +163,26 @@ def test_one_per_group_judges_rows(spark):
     assert len(groups) == len(rows) and sorted((r.component_id or 0) for r in groups) == [0, 0, 2, 2, 3, 3, 3, 5, 5, 5, 9, 9]
 
 
+def test_near_pairs_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(14)
+    sets = []
+    for n in (40, 300, 300, 900, 3000, 20000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > cut], rng.integers(0, 2**63, int(cut * n / 2), dtype=np.uint64)])) for cut in rng.choice([0.0, 0.02, 0.06, 0.1, 0.4], 40)]
+    bits = ngram_join._sketches(sets)[1]
+    assert all(len(b) <= ngram_join.SMALL_SKETCH for b in bits)
+    comp, n = rng.integers(0, 30, len(sets)), np.array([len(s) for s in sets])
+    link = lambda i, j: 5 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (n[i] + n[j] - both)
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if comp[i] != comp[j] and i // 40 == j // 40 and link(i, j)}
+    got = {(int(max(i, j)), int(min(i, j))) for i, j in zip(*ngram_join.near_pairs(comp, n, bits))}
+    assert want <= got and all(comp[i] != comp[j] for i, j in got) and len(got) < 3 * len(want) + 900
+    rows = [(s, 0, k, int(comp[k]), int(n[k]), bits[k]) for s in (1, 2, 3) for k in range(s * 20, s * 20 + 70)]
+    every = {(a, b) for s in (1, 2, 3) for a, b in [(j, i) for i, j in got] if all(s * 20 <= x < s * 20 + 70 for x in (a, b))}
+    for size in (1, 33, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("sig", "part", "node", "component", "n", "bits"), r)) for r in rows[k : k + size]]) for k in range(0, len(rows), size)]
+        assert {(r["a"], r["b"]) for b in ngram_join._meet(iter(batches)) for r in b.to_pylist()} == every
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(2)
     a, b = (np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(2))

@@ -24,10 +24,11 @@ alone: each counts as shared.
 
 Links without pairs. Signature lists are long where thousands of documents are near copies, and all their pairs must not be
 emitted. So each list first proposes only (member, pivot), the pivot being the list's least node in a random priority;
-proposals are verified exactly and connected components found. Lists inside one component are settled. In the others all
-members but those of the largest component meet every member of another component, so no link between components is lost;
-pairs whose sizes or parity sketches prove them below the threshold are dropped before their texts are fetched. Verification
-compares the exact shingle sets of the texts (64-bit hashes).
+proposals are verified exactly and connected components found. Lists inside one component are settled, and of lists with the
+same members one is enough. In what is left members of different components meet by their parity sketches, block against block of
+at most BLOCK members within a task, and a task emits only the pairs that sizes and sketches can't prove to be below the
+threshold: no link between components is lost, and no group's pairs become rows. Verification compares the exact shingle sets
+of the texts (64-bit hashes).
 
 Lists of frequent shingles' signatures are salted in the first round, so a signature held by a third of all rows is
 spread, and its salted pivots meet in a second step.
@@ -57,6 +58,8 @@ LEAST = 64
 SMALL = 32
 TAU = 0.3
 FEW = 16
+BLOCK = 2048
+SMALL_SKETCH = 256
 SALTS = 32
 SKETCH_BITS = (512, 1 << 16)
 
@@ -127,11 +130,72 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(a: bytes, size: int) -> np.ndarray:
+    """A sketch of the same set in at most ``size`` bytes."""
+    x = np.frombuffer(a, np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two sketches, the longer one folded: at most the size of the symmetric difference of the sets."""
-    x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
-    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def near_pairs(component: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of different components that sizes and sketches can't prove to be below the threshold."""
+    order = np.argsort(n, kind="stable")
+    n, component = n[order], component[order]
+    end = np.searchsorted(n * NUM, n * DEN, side="right")  # partners of the i-th set are at most as large
+    out = [np.empty((2, 0), np.int64)]
+    step = 128
+    for lo in range(0, len(n), step):
+        hi, last = min(lo + step, len(n)), int(end[min(lo + step, len(n)) - 1])
+        size = min(len(bits[k]) for k in order[lo:hi])
+        words = np.stack([folded(bits[k], size) for k in order[lo:last]]).view(np.uint64)
+        far = np.zeros((hi - lo, last - lo), np.int64)
+        for w in range(words.shape[1]):
+            far += np.bitwise_count(words[: hi - lo, None, w] ^ words[None, :, w])
+        at = np.arange(lo, last)
+        ok = (n[lo:hi, None] + n[None, lo:last] >= (NUM + DEN) * far) & (component[lo:hi, None] != component[None, lo:last])
+        ok &= (at[None, :] > at[: hi - lo, None]) & (at[None, :] < end[lo:hi, None])
+        i, j = np.nonzero(ok)
+        out.append(np.stack([order[lo + i], order[lo + j]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, part, node, component, n, bits) sorted by sig and part -> the pairs (a < b) of nodes of each part that may link.
+
+    A part is held until its last row has come: at most about 2 BLOCK rows.
+    """
+    rest: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        sig, part, node, component, n = (np.asarray(table.column(c), np.int64) for c in ("sig", "part", "node", "component", "n"))
+        bits = table.column("bits").to_pylist()
+        edge = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])]))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(sig)], strict=True):
+            i, j = near_pairs(component[lo:hi], n[lo:hi], bits[lo:hi])
+            x, y = node[lo + i], node[lo + j]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        sig, part = (np.asarray(now.column(c), np.int64) for c in ("sig", "part"))
+        cut = int(np.flatnonzero((sig != sig[-1]) | (part != part[-1]))[-1]) + 1 if (sig[0], part[0]) != (sig[-1], part[-1]) else 0
+        if cut:
+            yield pairs(now.slice(0, cut))
+        rest = now.slice(cut).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield pairs(rest)
 
 
 def _identity(s: np.ndarray) -> bytes:
@@ -174,6 +238,12 @@ def row_key(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
 
 
+def _sketches(sets: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """The sketches, and forms of at most SMALL_SKETCH bytes."""
+    full = [sketch(s) for s in sets]
+    return full, [folded(x, SMALL_SKETCH).tobytes() for x in full]
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]), pa.int32())
     return pa.ListArray.from_arrays(off, pa.array(i64(np.concatenate(arrays))))
@@ -354,7 +424,7 @@ def _unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _candidates(src: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members (id, rk, n, set), and the nodes (node, set, n, sketch, text, cold, hot, cls) that may link: one row for each set."""
+    """The members (id, rk, n, set), and the nodes (node, set, n, sketch, bits, text, cold, hot, cls) that may link: one row for each set."""
     spark = src.sparkSession
     classes = spark.sparkContext.broadcast(heavy_cells(src.select("text")))
     indexed = materialize(_indexed(src, classes), "sets")
@@ -375,11 +445,11 @@ def _candidates(src: DataFrame) -> tuple[DataFrame, DataFrame]:
             cls = [heavy[(s & _U(CELLS - 1)).astype(np.int64)] for s in own]
             cold = _lists([s[c == 1] for s, c in zip(own, cls, strict=True)])
             hot = [(s[c > 1], c[c > 1].astype(np.int64)) for s, c in zip(own, cls, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s) for s in own], pa.binary()), batch.column(1), cold, *[_lists([h[j] for h in hot]) for j in (0, 1)]], names=["set", "n", "sketch", "text", "cold", "hot", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), *[pa.array(x, pa.binary()) for x in _sketches(own)], batch.column(1), cold, *[_lists([h[j] for h in hot]) for j in (0, 1)]], names=["set", "n", "sketch", "bits", "text", "cold", "hot", "cls"])
 
     # only documents that the bounded filter lets through are shuffled; equal rows once
     some = maybe_in(src.withColumn("k", F.col("rk")), bloom(chosen.select(F.col("rk").alias("k")))).where("__maybe").select("rk", "text").dropDuplicates(["rk"])
-    nodes = some.join(chosen, "rk").select("set", "text").mapInArrow(run, "set binary, n long, sketch binary, text string, cold array<long>, hot array<long>, cls array<long>")
+    nodes = some.join(chosen, "rk").select("set", "text").mapInArrow(run, "set binary, n long, sketch binary, bits binary, text string, cold array<long>, hot array<long>, cls array<long>")
     return members.drop("node", "m"), materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -406,8 +476,13 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     top = runs.where("hot").groupBy("sig").agg(F.min(F.struct(F.xxhash64("pivot").alias("prio"), "pivot")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", F.col("top.pivot").alias("head"))
     top = materialize(top, "heads")
     hot = runs.where("hot").join(top, "sig")
-    lists = materialize(runs.where("not hot").select("sig", "node", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "head")), "lists")
+    every = materialize(runs.where("not hot").select("sig", "node", F.col("pivot").alias("head")).unionByName(hot.select("sig", "node", "head")), "lists")
     release(spark, flat, runs, top)
+    # of lists with the same members one is enough
+    print_ = every.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    one = materialize(print_.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), "distinct-lists")
+    lists = materialize(every.join(one, "sig"), "lists")
+    release(spark, every, one)
 
     pair = lambda p: p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # first the pivot that most of a node's lists propose: one text fetched a node
@@ -421,25 +496,25 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     home = open_.select(F.col("node").alias("head"), F.col("component").alias("home")).distinct()
     apart = open_.join(home, "head").where("component <> home").select(F.col("node").alias("a"), F.col("head").alias("b"))
     found = found.union(_verify(pair(apart), nodes))
-    # further pivots for what is still apart
-    for k in range(1, 3):
-        was, open_ = open_, _unsettled(open_.select("sig", "node"), found)
-        release(spark, was)
-        if not open_.limit(1).count():
-            return members, nodes, found
-        lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("p"), F.col("node").alias("pivot"), F.col("component").alias("home"))).alias("top"))
-        lead = materialize(lead.select("sig", "top.pivot", "top.home"), "pivots")
-        found = found.union(_verify(pair(open_.join(lead, "sig").where("component <> home").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
-        release(spark, lead)
-    # whatever is still apart meets in full, if sizes allow: all but the largest component against every other one
-    was, open_ = open_, _unsettled(open_.select("sig", "node"), found)
+    # a second pivot for what is still apart
+    was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
+    release(spark, was)
+    if not open_.limit(1).count():
+        return members, nodes, found
+    lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("p"), F.col("node").alias("pivot"), F.col("component").alias("home"))).alias("top"))
+    lead = materialize(lead.select("sig", "top.pivot", "top.home"), "pivots")
+    found = found.union(_verify(pair(open_.join(lead, "sig").where("component <> home").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
+    release(spark, lead)
+    # whatever is still apart meets by its sketches, in parts of a list of at most BLOCK members, each with itself and each other one
+    was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
     release(spark, was)
-    sized = materialize(open_.join(nodes.select("node", "n"), "node"), "sized")
-    x = sized.where("component <> main").select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = sized.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    met = x.join(y, (x.sig == y.sig) & (x.ca != y.cb) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")))
-    found = found.union(_verify(pair(met.select("a", "b")), nodes))
-    release(spark, open_, sized)
+    parted = open_.withColumn("of", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("of")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
+    parted = parted.select("node", "sig", "component", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).cast("long").alias("part"))
+    met = parted.join(nodes.select("node", "n", "bits"), "node").select("sig", "part", "node", "component", "n", "bits")
+    met = met.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part").mapInArrow(_meet, "a long, b long")
+    found = found.union(_verify(met.distinct(), nodes))
+    release(spark, open_)
     return members, nodes, found
 
 
