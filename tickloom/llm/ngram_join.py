@@ -23,8 +23,9 @@ give the class of a cell, and at most about avg(n) / PHI cells can be heavy, wha
 alone: each counts as shared.
 
 Links without pairs. Signature lists are long where thousands of documents are near copies, and all their pairs must not be
-emitted. So each list first proposes only (member, pivot), the pivot being the list's least node in a random priority;
-proposals are verified exactly and connected components found. Lists inside one component are settled, and of lists with the
+emitted. So each list first proposes only (member, pivot), the pivot being the list's least node in a random priority, and a node
+takes the one that most of its lists propose; proposals are verified exactly and connected components found. ROUNDS times more, those
+outside a list's largest component are asked against one node inside. Lists inside one component are settled, and of lists with the
 same members one is enough. In what is left members of different components meet by their parity sketches, block against block of
 at most BLOCK members within a task, and a task emits only the pairs that sizes and sketches can't prove to be below the
 threshold: no link between components is lost, and no group's pairs become rows. Verification compares the exact shingle sets
@@ -58,7 +59,8 @@ LEAST = 64
 SMALL = 32
 TAU = 0.3
 FEW = 16
-BLOCK = 2048
+BLOCK = 1024
+ROUNDS = 3
 SMALL_SKETCH = 256
 SALTS = 32
 SKETCH_BITS = (512, 1 << 16)
@@ -488,26 +490,19 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # first the pivot that most of a node's lists propose: one text fetched a node
     star = lists.select(F.col("node").alias("a"), F.col("head").alias("b"), "sig").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"))
     found = _verify(pair(star.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))), nodes)
-    # then all pivots of the lists that this left apart
     open_ = _unsettled(lists, found)
     release(spark, lists)
-    if not open_.limit(1).count():
-        return members, nodes, found
-    home = open_.select(F.col("node").alias("head"), F.col("component").alias("home")).distinct()
-    apart = open_.join(home, "head").where("component <> home").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    found = found.union(_verify(pair(apart), nodes))
-    # a second pivot for what is still apart
-    was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
-    release(spark, was)
-    if not open_.limit(1).count():
-        return members, nodes, found
-    lead = open_.where("component <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("p"), F.col("node").alias("pivot"), F.col("component").alias("home"))).alias("top"))
-    lead = materialize(lead.select("sig", "top.pivot", "top.home"), "pivots")
-    found = found.union(_verify(pair(open_.join(lead, "sig").where("component <> home").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), nodes))
-    release(spark, lead)
+    # then, a few times, some node of a list's largest component for those outside it: again one for each node
+    for k in range(ROUNDS):
+        if not open_.limit(1).count():
+            return members, nodes, found
+        lead = open_.where("component = main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("p"), F.col("node").alias("b"))).alias("top"))
+        lead = materialize(lead.select("sig", "top.b"), "pivots")
+        asked = open_.where("component <> main").select("sig", F.col("node").alias("a")).join(lead, "sig").groupBy("a", "b").agg(F.count("*").alias("m"))
+        found = found.union(_verify(pair(asked.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))), nodes))
+        was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
+        release(spark, lead, was)
     # whatever is still apart meets by its sketches, in parts of a list of at most BLOCK members, each with itself and each other one
-    was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
-    release(spark, was)
     parted = open_.withColumn("of", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("of")).cast("int"))
     parted = parted.withColumn("other", F.explode(F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
     parted = parted.select("node", "sig", "component", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).cast("long").alias("part"))
