@@ -28,7 +28,8 @@ takes the one that most of its lists propose; proposals are verified exactly and
 outside a list's largest component are asked against one node inside. Lists inside one component are settled, and of lists with the
 same members one is enough. In what is left members of different components meet by their parity sketches, block against block of
 at most BLOCK members within a task, and a task emits only the pairs that sizes and sketches can't prove to be below the
-threshold: no link between components is lost, and no group's pairs become rows. Verification compares the exact shingle sets
+threshold: no link between components is lost, and no group's pairs become rows. A pair that meets in many lists is emitted by the
+first of them, as far as the LOW least lists of both tell. Verification compares the exact shingle sets
 of the texts (64-bit hashes).
 
 Lists of frequent shingles' signatures are salted in the first round, so a signature held by a third of all rows is
@@ -61,6 +62,7 @@ TAU = 0.3
 FEW = 16
 BLOCK = 1024
 ROUNDS = 3
+LOW = 16
 SMALL_SKETCH = 256
 SALTS = 32
 SKETCH_BITS = (512, 1 << 16)
@@ -167,20 +169,33 @@ def near_pairs(component: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, part, node, component, n, bits) sorted by sig and part -> the pairs (a < b) of nodes of each part that may link.
+    """Rows (sig, part, node, component, n, bits, low) sorted by sig and part -> the pairs (a < b) of nodes of each part that may link.
 
-    A part is held until its last row has come: at most about 2 BLOCK rows.
+    ``low`` are the least signatures of the node: a pair that has one below this one in common has met there. A part is
+    held until its last row has come: at most about 2 BLOCK rows.
     """
     rest: pa.Table | None = None
 
+    def met_before(low: np.ndarray, sig: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 20_000):
+            x, y = low[i[at : at + 20_000]], low[j[at : at + 20_000]]
+            out[at : at + 20_000] = ((x[:, :, None] == y[:, None, :]) & (x < sig)[:, :, None]).any(axis=(1, 2))
+        return out
+
     def pairs(table: pa.Table) -> pa.RecordBatch:
         sig, part, node, component, n = (np.asarray(table.column(c), np.int64) for c in ("sig", "part", "node", "component", "n"))
         bits = table.column("bits").to_pylist()
+        lists = table.column("low").combine_chunks()
+        count = np.asarray(lists.value_lengths(), np.int64)
+        low = np.full((len(sig), LOW), np.iinfo(np.int64).max)
+        low[np.arange(LOW)[None, :] < count[:, None]] = np.asarray(lists.flatten(), np.int64)
         edge = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])]))
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(sig)], strict=True):
             i, j = near_pairs(component[lo:hi], n[lo:hi], bits[lo:hi])
-            x, y = node[lo + i], node[lo + j]
+            first = ~met_before(low[lo:hi], sig[lo], i, j)
+            x, y = node[lo + i[first]], node[lo + j[first]]
             a.append(np.minimum(x, y))
             b.append(np.maximum(x, y))
         found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
@@ -506,10 +521,12 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parted = open_.withColumn("of", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("of")).cast("int"))
     parted = parted.withColumn("other", F.explode(F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
     parted = parted.select("node", "sig", "component", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).cast("long").alias("part"))
-    met = parted.join(nodes.select("node", "n", "bits"), "node").select("sig", "part", "node", "component", "n", "bits")
+    low = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
+    known = materialize(nodes.select("node", "n", "bits").join(low, "node"), "known")
+    met = parted.join(known, "node").select("sig", "part", "node", "component", "n", "bits", "low")
     met = met.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part").mapInArrow(_meet, "a long, b long")
     found = found.union(_verify(met.distinct(), nodes))
-    release(spark, open_)
+    release(spark, open_, known)
     return members, nodes, found
 
 
