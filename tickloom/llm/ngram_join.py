@@ -445,9 +445,8 @@ def _candidates(src: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = src.sparkSession
     classes = spark.sparkContext.broadcast(heavy_cells(src.select("text")))
     indexed = materialize(_indexed(src, classes), "sets")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = indexed.where("node is not null").select("node", F.explode("toks").alias("t"))
-    shared = rows.repartition(parts, "t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte").groupBy("node").agg(F.count("*").alias("others"))
+    shared = rows.repartition("t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte").groupBy("node").agg(F.count("*").alias("others"))
     members = materialize(indexed.select("id", "rk", "n", "set", "node", F.size("toks").alias("m")), "members")
     shared = materialize(shared, "shared")
     release(spark, indexed)
@@ -477,17 +476,16 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = lean(src.sparkSession)
     members, nodes = _candidates(src)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("node", F.explode("cold").alias("t"))
-    shared = rows.repartition(parts, "t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte")
+    shared = rows.repartition("t").sortWithinPartitions("t", "node").select("t", "node").mapInArrow(_shared, "t long, node long, cls byte")
     # very frequent shingles count as shared; size and number of indexed shingles come first
     every = nodes.select("node", F.explode(F.arrays_zip("hot", "cls")).alias("h")).select("node", (F.col("h.cls") + 2).cast("byte").alias("cls"), F.col("h.hot").alias("t"))
     size = nodes.select("node", F.explode(F.array(F.struct(F.lit(-2).cast("byte").alias("cls"), F.col("n").alias("t")), F.struct(F.lit(-1).cast("byte").alias("cls"), F.size("cold").cast("long").alias("t")))).alias("h")).select("node", "h.*")
     all_ = shared.select("node", "cls", "t").unionByName(every).unionByName(size)
-    flat = materialize(all_.repartition(parts, "node").sortWithinPartitions("node", "cls").mapInArrow(_sign, "sig long, hot boolean, node long"), "signatures")
+    flat = materialize(all_.repartition("node").sortWithinPartitions("node", "cls").mapInArrow(_sign, "sig long, hot boolean, node long"), "signatures")
 
     flat = flat.withColumn("prio", F.xxhash64("node"))
-    salted = flat.repartition(parts, "sig", F.when(F.col("hot"), F.pmod("prio", F.lit(SALTS))).otherwise(0))
+    salted = flat.repartition("sig", F.when(F.col("hot"), F.pmod("prio", F.lit(SALTS))).otherwise(0))
     runs = materialize(salted.sortWithinPartitions("sig", "prio", "node").select("sig", "hot", "prio", "node").mapInArrow(_runs, "sig long, hot boolean, node long, pivot long"), "runs")
     # hot signatures: the pivots of the salted runs meet
     top = runs.where("hot").groupBy("sig").agg(F.min(F.struct(F.xxhash64("pivot").alias("prio"), "pivot")).alias("top"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", F.col("top.pivot").alias("head"))
@@ -524,7 +522,7 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     low = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
     known = materialize(nodes.select("node", "n", "bits").join(low, "node"), "known")
     met = parted.join(known, "node").select("sig", "part", "node", "component", "n", "bits", "low")
-    met = met.repartition(parts, "sig", "part").sortWithinPartitions("sig", "part").mapInArrow(_meet, "a long, b long")
+    met = met.repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(_meet, "a long, b long")
     found = found.union(_verify(met.distinct(), nodes))
     release(spark, open_, known)
     return members, nodes, found
