@@ -275,13 +275,13 @@ def bloom(keys: DataFrame) -> DataFrame:
     return one(0).union(one(30)).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def maybe_in(df: DataFrame, filter_: DataFrame) -> DataFrame:
-    """``df`` (with k) with a column __maybe: false for rows that the filter excludes. The filter is broadcast (1 MB)."""
+def maybe_in(df: DataFrame, filter_: DataFrame, key: str = "k") -> DataFrame:
+    """``df`` with a column __maybe: false for rows whose key the filter excludes. The filter is broadcast (1 MB)."""
     out = df
     for j, s in enumerate((0, 30)):
         b = F.broadcast(filter_.select(F.col("word").alias(f"__w{j}"), F.col("bits").alias(f"__b{j}")))
-        out = out.withColumn(f"__w{j}", F.pmod(F.shiftrightunsigned(F.xxhash64("k"), s), F.lit(BLOOM_WORDS)).cast("int")).join(b, f"__w{j}", "left")
-        out = out.withColumn(f"__b{j}", F.expr(f"coalesce(__b{j} & shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(k), {s + 20}), 64) as int)), 0L) <> 0"))
+        out = out.withColumn(f"__w{j}", F.pmod(F.shiftrightunsigned(F.xxhash64(key), s), F.lit(BLOOM_WORDS)).cast("int")).join(b, f"__w{j}", "left")
+        out = out.withColumn(f"__b{j}", F.expr(f"coalesce(__b{j} & shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64({key}), {s + 20}), 64) as int)), 0L) <> 0"))
     return out.withColumn("__maybe", F.col("__b0") & F.col("__b1")).drop("__w0", "__w1", "__b0", "__b1")
 
 

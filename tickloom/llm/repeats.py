@@ -153,7 +153,8 @@ def repeated_ranges(keyed: DataFrame, length: int = 400) -> DataFrame:
     rows = materialize(keyed.select(*KEY, "text").mapInArrow(first, schema + "h0 long, h1 long, h2 long, h3 long, stretch long"), "wide")
     # offset 0: first ranks
     once = ranks(rows.select("h0"))
-    alive = materialize(rows.join(once.select("h0"), "h0"), "alive")
+    some = maybe_in(rows, bloom(once.select(F.col("h0").alias("k"))), "h0").where("__maybe").drop("__maybe")  # of the others only those are shuffled
+    alive = materialize(some.join(once.select("h0"), "h0"), "alive")
     release(spark, rows, once)
     # the first offset, at both places that the second one needs
     pair = lambda a, b: alive.select(F.col(a).alias("a"), F.col(b).alias("b"))
