@@ -68,6 +68,11 @@ def test_cardinality_and_conflicts(spark):
         dims.assert_unique(df, ["k"]).collect()
     clean, bad = dims.conflict_dedupe(df.withColumn("i", F.monotonically_increasing_id()), ["k"], ["v"], ["i"])
     assert [r.k for r in clean.collect()] == [1] and bad.count() == 2
+    moved = spark.createDataFrame([(1, None, "a", 0), (1, "a", None, 1), (2, None, "a", 2), (2, None, "a", 3)], "k int, v string, w string, i int")
+    clean, bad = dims.conflict_dedupe(moved, ["k"], ["v", "w"], ["i"])
+    assert [r.i for r in clean.collect()] == [2] and sorted(r.i for r in bad.collect()) == [0, 1]
+    sign = lambda *rows: gates.signature(spark.createDataFrame(list(rows), "v string, w string")).first().signature
+    assert sign(("a", "x"), ("a", "x")) != sign(("b", "x"), ("b", "x")) and sign((None, "a")) != sign(("a", None)) and sign(("a", "x"), ("b", "y")) == sign(("b", "y"), ("a", "x"))
 
 
 def test_running_total_equals_a_window(spark):

@@ -97,11 +97,14 @@ def assert_unique(df: DataFrame, keys: list[str], name: str = "table") -> DataFr
 
 
 def conflict_dedupe(df: DataFrame, keys: list[str], business: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(clean, conflicts): equal business rows of a key collapse to the first; keys with different ones are all quarantined."""
+    """(clean, conflicts): equal business rows of a key collapse to the first; keys with different ones are all quarantined.
+
+    Rows are equal if all their values are, where null equals null only; the least and the greatest row of a key tell.
+    """
     w = Window.partitionBy(*keys)
-    versions = F.size(F.collect_set(F.xxhash64(*business)).over(w))
-    marked = df.withColumns({"__v": versions, "__rn": F.row_number().over(w.orderBy(*order))})
-    return marked.where("__v = 1 and __rn = 1").drop("__v", "__rn"), marked.where("__v > 1").drop("__v", "__rn")
+    row = F.struct(*business)
+    marked = df.withColumns({"__same": F.min(row).over(w).eqNullSafe(F.max(row).over(w)), "__rn": F.row_number().over(w.orderBy(*order))})
+    return marked.where("__same and __rn = 1").drop("__same", "__rn"), marked.where("not __same").drop("__same", "__rn")
 
 
 def latest_event(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -60,8 +60,13 @@ def verdict(violations: DataFrame) -> DataFrame:
 
 
 def signature(df: DataFrame) -> DataFrame:
-    """Order-free content signature: rows and the xor of row hashes; compare it before and after a rewrite."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("signature"))
+    """Order-free content signature: rows and the sum of row hashes as text; compare it before and after a rewrite.
+
+    A sum, as an xor would cancel repeated rows; each value is hashed with whether it is null, as a hash alone skips nulls.
+    """
+    names = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    row = F.xxhash64(*[x for c in names for x in (F.col(c).isNull(), F.col(c))])
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("signature"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

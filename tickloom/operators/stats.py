@@ -60,6 +60,33 @@ def weekly(df: DataFrame, keys: list[str], date: str, value: str, day: str = "FR
     return df.withColumn("week_end", end).groupBy(*keys, "week_end").agg(F.max_by(value, date).alias("last_value"), F.sum(value).alias("sum_value"), F.min(value).alias("min_value"), F.count("*").alias("n"))
 
 
+def resample(df: DataFrame, keys: list[str], date: str, value: str, period: str) -> DataFrame:
+    """Last value, sum and minimum per calendar period ("month", "quarter" or "year"), named by its last day."""
+    months = {"month": 1, "quarter": 3, "year": 12}[period]
+    end = F.date_sub(F.add_months(F.trunc(F.col(date).cast("date"), period), months), 1)
+    return df.withColumn("period_end", end).groupBy(*keys, "period_end").agg(F.max_by(value, date).alias("last_value"), F.sum(value).alias("sum_value"), F.min(value).alias("min_value"), F.count("*").alias("n"))
+
+
+def payoff(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, win rate, profit factor (gains / losses) and payoff ratio (mean win / mean loss); a ratio without losses is null."""
+    v = F.col(value)
+    win, loss = F.when(v > 0, v), F.when(v < 0, -v)
+    rate = F.avg(F.when(v.isNotNull(), (v > 0).cast("double")))
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), rate.alias("win_rate"), (F.sum(win) / F.nullif(F.sum(loss), F.lit(0.0))).alias("profit_factor"), (F.avg(win) / F.nullif(F.avg(loss), F.lit(0.0))).alias("payoff_ratio"))
+
+
+def paired_differences(df: DataFrame, unit: str, arm: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows (pair, n, mean, median, positive_rate) of mean(first arm) - mean(second arm) over the units that have both arms.
+
+    The arms are pivoted by conditional means in one aggregation; the pairs are given, so no pass looks for them.
+    """
+    arms = sorted({a for p in pairs for a in p})
+    wide = df.groupBy(unit).agg(*[F.avg(F.when(F.col(arm) == a, F.col(value))).alias(f"a{j}") for j, a in enumerate(arms)])
+    at = {a: F.col(f"a{j}") for j, a in enumerate(arms)}
+    each = wide.select(F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), (at[a] - at[b]).alias("d")) for a, b in pairs])).alias("x")).select("x.*").where("d is not null")
+    return each.groupBy("pair").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.avg((F.col("d") > 0).cast("double")).alias("positive_rate"))
+
+
 def quantile_buckets(df: DataFrame, keys: list[str], value: str, buckets: int, outcome: str) -> DataFrame:
     """Equal-count buckets of ``value`` (1 ... buckets, by average rank) with the outcome's count, mean and win rate."""
     w = Window.partitionBy(*keys)

@@ -195,3 +195,59 @@ SELECT sum(e)::BIGINT AS elements, count(*) AS rows_, min(e) AS least, max(e) AS
 def array_lengths(t):
     e = F.size("embedding").cast("long")
     return t.embeddings.agg(F.sum(e).alias("elements"), F.count("*").alias("rows_"), F.min(e).alias("least"), F.max(e).alias("most"))
+
+
+@BOOK.query("SELECT count(*) AS n_rows, true AS same_after_reorder, false AS same_with_repeats, false AS same_with_moved_nulls FROM orders")
+def dataset_signature(t):
+    o = t.orders
+    sign = lambda df, name: gates.signature(df).select("rows", F.col("signature").alias(name))
+    none = F.lit(None).cast("string")
+    left, right = (o.select("o_orderkey", *x) for x in ((none.alias("a"), F.col("o_orderpriority").alias("b")), (F.col("o_orderpriority").alias("a"), none.alias("b"))))
+    parts = [sign(o, "s0"), sign(o.repartition(7, "o_custkey"), "s1").drop("rows"), sign(o.union(o).union(o), "s2").drop("rows"), sign(left, "s3").drop("rows"), sign(right, "s4").drop("rows")]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(p)  # single rows
+    return one.select(F.col("rows").alias("n_rows"), (F.col("s0") == F.col("s1")).alias("same_after_reorder"), (F.col("s0") == F.col("s2")).alias("same_with_repeats"), (F.col("s3") == F.col("s4")).alias("same_with_moved_nulls"))
+
+
+@BOOK.query("""
+WITH d AS (SELECT o_orderdate::DATE AS d, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1),
+p AS (SELECT 'month' AS period, (date_trunc('month', d) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS e, d, v FROM d UNION ALL SELECT 'year', (date_trunc('year', d) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE, d, v FROM d)
+SELECT period, e::VARCHAR AS period_end, max_by(v, d) AS last_value, round(sum(v), 2) AS sum_value, min(v) AS min_value, count(*) AS n FROM p GROUP BY period, e
+""")
+def monthly_annual_resample(t):
+    d = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    each = [stats.resample(d, [], "d", "v", p).select(F.lit(p).alias("period"), F.col("period_end").cast("string").alias("period_end"), "last_value", F.round("sum_value", 2).alias("sum_value"), "min_value", "n") for p in ("month", "year")]
+    return each[0].unionByName(each[1])
+
+
+@BOOK.query("""
+WITH v AS (SELECT l_returnflag, l_linestatus, l_extendedprice * (l_discount - l_tax) AS v FROM lineitem)
+SELECT l_returnflag, l_linestatus, count(v) AS n, round(avg((v > 0)::INT), 8) AS win_rate, round(sum(v) FILTER (WHERE v > 0) / sum(-v) FILTER (WHERE v < 0), 8) AS profit_factor,
+       round(avg(v) FILTER (WHERE v > 0) / avg(-v) FILTER (WHERE v < 0), 8) AS payoff_ratio FROM v GROUP BY l_returnflag, l_linestatus
+""")
+def payoff_ratio(t):
+    v = t.lineitem.select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("v"))
+    return stats.payoff(v, ["l_returnflag", "l_linestatus"], "v").withColumns({c: F.round(c, 8) for c in ("win_rate", "profit_factor", "payoff_ratio")})
+
+
+@BOOK.query("""
+WITH w AS (SELECT l_suppkey, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS a, avg(l_quantity) FILTER (WHERE l_returnflag = 'N') AS n, avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_suppkey),
+d AS (SELECT 'A-N' AS pair, a - n AS d FROM w UNION ALL SELECT 'A-R', a - r FROM w UNION ALL SELECT 'R-N', r - n FROM w)
+SELECT pair, count(*) AS n, round(avg(d), 8) AS mean, round(median(d), 8) AS median, round(avg((d > 0)::INT), 8) AS positive_rate FROM d WHERE d IS NOT NULL GROUP BY pair
+""")
+def paired_differences(t):
+    out = stats.paired_differences(t.lineitem, "l_suppkey", "l_returnflag", "l_quantity", [("A", "N"), ("A", "R"), ("R", "N")])
+    return out.withColumns({c: F.round(c, 8) for c in ("mean", "median", "positive_rate")})
+
+
+@BOOK.query("""
+WITH v AS (SELECT year(o_orderdate) AS y, round(o_totalprice - 150000, 2) AS v FROM orders)
+SELECT y AS year, count(*) AS n, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.25), 6) AS p25, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95, round(avg((v > 0)::INT), 8) AS positive_rate
+FROM v GROUP BY y
+""")
+def annual_regimes(t):
+    v = t.orders.select(F.year("o_orderdate").cast("long").alias("year"), F.round(F.col("o_totalprice") - 150000, 2).alias("v"))
+    q = F.percentile("v", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    out = v.groupBy("year").agg(F.count("*").alias("n"), q.alias("q"), F.round(F.avg((F.col("v") > 0).cast("double")), 8).alias("positive_rate"))
+    return out.select("year", "n", *[F.round(F.col("q")[j], 6).alias(c) for j, c in enumerate(("p05", "p25", "median", "p75", "p95"))], "positive_rate")

@@ -195,9 +195,9 @@ def latest_eligible_slot(t):
 
 @BOOK.query("""
 SELECT o_orderkey, l_linenumber, s.slot, CASE s.slot WHEN 'qty' THEN l_quantity WHEN 'disc' THEN l_discount ELSE l_tax END AS x
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('qty'), ('disc'), ('tax')) s(slot) WHERE o_totalprice > 400000
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('qty'), ('disc'), ('tax')) s(slot)
 """)
 def union_of_slots(t):
-    j = t.lineitem.join(t.orders.where("o_totalprice > 400000"), F.col("o_orderkey") == F.col("l_orderkey"))
+    j = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     slots = F.explode(F.array(*[F.struct(F.lit(n).alias("slot"), F.col(c).alias("x")) for n, c in (("qty", "l_quantity"), ("disc", "l_discount"), ("tax", "l_tax"))]))
     return j.select("o_orderkey", "l_linenumber", slots.alias("s")).select("o_orderkey", "l_linenumber", "s.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.gates import audit
+from ..operators.gates import audit, signature
 
 
 def scan(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, base: str | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def publish(df: DataFrame, root: str, partition: str, keys: list[str], checks: d
         fs.mkdirs(P(f"{root}/_quarantine"))
         fs.rename(P(stage), P(f"{root}/_quarantine/{uuid.uuid4().hex}"))
         raise ValueError(f"{partition} isn't published: {bad}")
-    content = staged.agg(F.bit_xor(F.xxhash64(*staged.columns)).alias("s")).first().s
+    content = signature(staged).first().signature
     if fs.exists(P(note)):
         fs.delete(P(note), False)
     if fs.exists(P(final)):
