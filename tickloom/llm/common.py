@@ -7,6 +7,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -175,6 +178,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SL
             lo = hi
 
 
+def trim() -> None:
+    """Give memory that freed arrays have left in this process back to the system: after a fit on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x
 

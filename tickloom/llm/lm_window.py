@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Lexicon, add_columns, i64, materialize, release, run_hashes, slices, string_buffer, word_bounds
+from .common import Lexicon, add_columns, i64, materialize, release, run_hashes, slices, string_buffer, trim, word_bounds
 
 SPAN = 2
 HIDDEN = 16
@@ -363,6 +363,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             getattr(model, r["part"])[rows] += np.frombuffer(r["data"], np.float32).reshape(len(rows), -1)
     model.set_spelling(np.concatenate(code), np.concatenate(count))
     shared.destroy()
+    del got
+    trim()
     return model
 
 

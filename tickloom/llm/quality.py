@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, trim
 from .textmodel import BITS, Rows, adam, labelled, means, score_texts, sigmoid, word_features
 
 TRAIN_ROWS = 6000
@@ -84,7 +84,10 @@ def fit_rows(rows: Rows, grade: np.ndarray, l2: float = 1e-4) -> OrdinalModel:
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> OrdinalModel:
     rows, y, _ = labelled(docs, labels, [grade], train_rows, word_features, id_col, text_col)
-    return fit_rows(means(rows), y[grade])
+    model = fit_rows(means(rows), y[grade])
+    del rows, y
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, pass_grade: float, keep_at: float = 0.5, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:

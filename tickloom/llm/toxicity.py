@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _U, add_columns, i64, string_buffer
+from .common import _U, add_columns, i64, string_buffer, trim
 from .textmodel import Rows, adam, labelled, sigmoid, term_keys
 
 TRAIN_ROWS = 6000
@@ -114,7 +114,10 @@ def fit_chain(rows: Rows, labels: list[np.ndarray], fold: np.ndarray) -> list[Li
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> list[Link]:
     """The chain over ``categories``, columns of 0 and 1 of ``labels``, in the order given."""
     rows, y, ids = labelled(docs, labels, categories, train_rows, term_keys, id_col, text_col)
-    return fit_chain(rows, [y[c] for c in categories], np.arange(len(ids)) % FOLDS)
+    links = fit_chain(rows, [y[c] for c in categories], np.arange(len(ids)) % FOLDS)
+    del rows, y
+    trim()
+    return links
 
 
 def chain_logits(links: list[Link], keys: np.ndarray, first: np.ndarray) -> np.ndarray:
