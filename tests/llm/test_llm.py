@@ -534,6 +534,30 @@ def test_lm_window_scores_and_grows(spark, texts):
     assert lm_window.score(_docs(spark, []), lm_window.fit(_docs(spark, []))).count() == 0
 
 
+def test_lm_window_changes_follow_the_gradient(monkeypatch):
+    """The changes of E by one step against numeric differences of the log-likelihood."""
+    rng = np.random.default_rng(6)
+    w = lm_window.Words(pa.array([_prose(rng, 40), "a b", _prose(rng, 9), ""], pa.string()))
+    keys, n = np.unique(w.hash, return_counts=True)
+    model = lm_window.Model(keys[::2], n[::2], int(n[1::2].sum()))
+    model.W += rng.normal(0, 0.3, model.W.shape).astype(np.float32)
+    leaf, row = model.ids(w)
+    x = w.neighbours(row)
+    moved = {}
+    monkeypatch.setattr(lm_window.Trainer, "_move", lambda self, name, rows, grad: moved.setdefault(name, []).append((rows, grad)))
+    lm_window.Trainer(model).learn(leaf, x, row)
+    rows, grad = moved["E"][0]
+    assert len(np.unique(rows)) == len(rows) and set(rows.tolist()) == set(x.reshape(-1).tolist()) | set(row.tolist()) | {0}
+    for r in rng.permutation(len(rows))[:12].tolist() + [0]:
+        for k in (0, 7):
+            old, out = model.E[rows[r], k], []
+            for step in (1e-2, -1e-2):
+                model.E[rows[r], k] = old + step
+                out.append(model.log_prob(leaf, x).sum())
+            model.E[rows[r], k] = old
+            assert grad[r, k] == pytest.approx(-(out[0] - out[1]) / 2e-2, abs=3e-3, rel=0.02)
+
+
 def test_lm_query_tells_rare_words_apart(spark, tmp_path):
     rng = np.random.default_rng(12)
     base = [(i, _prose(rng, 80)) for i in range(150)]

@@ -148,9 +148,15 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative numbers below 2^32: two passes over 16 bits, which numpy sorts by radix."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((rows >> 16).astype(np.uint16)[order], kind="stable")] if len(rows) and rows.max() > 0xFFFF else order
+
+
 def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = _sorted(rows)
     rows = rows[order]
     edge = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[edge], np.add.reduceat(values.take(order, axis=0), edge, axis=0)
@@ -258,7 +264,8 @@ class Trainer:
         seen[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
         getattr(self.m, name)[rows] -= RATE * grad / (np.sqrt(seen[rows]) + 1e-9)[:, None]
 
-    def step(self, leaf: np.ndarray, x: np.ndarray) -> None:
+    def step(self, leaf: np.ndarray, x: np.ndarray, around: np.ndarray) -> None:
+        """``around``: the words' own rows of E, with SPAN more on either side."""
         m = self.m
         if not len(m.keys) or not len(leaf):
             return
@@ -276,12 +283,20 @@ class Trainer:
         self._move("W", rows, g_top.T @ h)
         d = d[:, :-1] * (1 - h[:, :-1] ** 2)
         grad = np.concatenate([np.einsum("ik,ijk->jk", d, e), d.sum(axis=0)[None]])
-        self._move("E", *_scatter(x.reshape(-1), (d[:, None, :] * m.D[:-1]).reshape(-1, HIDDEN)))
+        # a word is a neighbour of those around it: its changes are summed by place first, those of the edge apart
+        own, edge = np.zeros((len(around), HIDDEN), np.float32), np.zeros(HIDDEN, np.float32)
+        for j, off in enumerate(_OFFSETS):
+            inside = (x[:, j] > 0)[:, None]
+            own[SPAN + off : SPAN + off + len(x)] += np.where(inside, d, 0) * m.D[j]
+            edge += np.where(inside, 0, d).sum(axis=0) * m.D[j]
+        own[around == 0] = 0
+        self._move("E", *_scatter(np.append(around, 0), np.concatenate([own, edge[None]])))
         self._move("D", np.arange(len(grad)), grad)
 
-    def learn(self, leaf: np.ndarray, x: np.ndarray) -> None:
+    def learn(self, leaf: np.ndarray, x: np.ndarray, row: np.ndarray) -> None:
+        around = np.concatenate([np.zeros(SPAN, row.dtype), row, np.zeros(SPAN, row.dtype)])
         for lo in range(0, len(leaf), BATCH):
-            self.step(leaf[lo : lo + BATCH], x[lo : lo + BATCH])
+            self.step(leaf[lo : lo + BATCH], x[lo : lo + BATCH], around[lo : min(lo + BATCH, len(leaf)) + 2 * SPAN])
 
 
 def vocabulary(texts: DataFrame) -> Model:
@@ -316,7 +331,7 @@ def _learn(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     for batch in slices(batches, "text"):
         words = Words(batch.column(0))
         leaf, row = model.ids(words)
-        trainer.learn(leaf, words.neighbours(row))
+        trainer.learn(leaf, words.neighbours(row), row)
         new, n = np.unique(words.trigrams(np.flatnonzero(leaf == len(model.keys)))[0], return_counts=True)
         code, inv = np.unique(np.concatenate([code, new]), return_inverse=True)
         count = np.bincount(inv, np.concatenate([count, n]), len(code)).astype(np.int64)
@@ -325,7 +340,7 @@ def _learn(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     for k in _PARTS:
         touched = np.flatnonzero(trainer.seen[k])
         for rows in np.split(touched, np.flatnonzero(np.diff(touched // BLOCK)) + 1) if len(touched) else []:
-            yield row(k, int(rows[0]) // BLOCK, rows, getattr(trainer.m, k)[rows] - getattr(model, k)[rows])
+            yield row(k, int(rows[0]) // BLOCK, rows, (getattr(trainer.m, k)[rows] - getattr(model, k)[rows]).astype(np.float16))
     for p in range(SPELL_PARTS):
         if (own := code % SPELL_PARTS == p).any():
             yield row("S", p, code[own], count[own])
@@ -338,9 +353,10 @@ def _merge(table: pa.Table) -> pa.Table:
     """Means of the changes to each row over the tasks that changed it, in the order of tasks; sums of trigram counts."""
     table = table.sort_by("task")
     part = table.column("part")[0].as_py()
-    kind = np.int64 if part == "S" else np.float32
+    kind = np.int64 if part == "S" else np.float16  # changes are small: half precision halves the shuffle
     rows = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("rows").to_pylist()])
     data = np.concatenate([np.frombuffer(x, kind) for x in table.column("data").to_pylist()]).reshape(len(rows), -1)
+    data = data if part == "S" else data.astype(np.float32)
     own, total = _scatter(rows, data)
     if part != "S":
         total /= np.unique(rows, return_counts=True)[1].astype(np.float32)[:, None]
