@@ -38,6 +38,7 @@ TOP = 31
 RATE = 0.05
 BLOCK = 2048
 SPELL_PARTS = 16
+FEW = 6
 _OFFSETS = [d for d in range(-SPAN, SPAN + 1) if d]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,29 +126,24 @@ class Tree:
         self.node, self.bit = nodes[by].astype(np.int32), bits[by].astype(np.float32)
         self.ptr = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]).astype(np.int64)
 
-    def path(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the leaf in ``leaves``, node and bit of every step below the top."""
-        n = self.ptr[leaves + 1] - self.ptr[leaves]
-        pos = np.arange(int(n.sum())) + np.repeat(self.ptr[leaves] - (np.cumsum(n) - n), n)
-        return np.repeat(np.arange(len(leaves)), n), self.node.take(pos), self.bit.take(pos)
+    def longest_first(self, leaves: np.ndarray) -> np.ndarray:
+        """The order of leaves by falling length of their paths below the top."""
+        return np.argsort((self.ptr[leaves] - self.ptr[leaves + 1]).astype(np.int16), kind="stable")
 
-
-_ONES = np.ones(HIDDEN + 1, np.float32)
+    def levels(self, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nodes and bits of the k-th steps below the top, for k = 0, 1, ..; of leaves by ``longest_first``, so those with a k-th step come first."""
+        at = self.ptr[leaves]
+        n = self.ptr[leaves + 1] - at
+        reach = len(n) - np.cumsum(np.bincount(n)) if len(n) else []
+        for k, many in enumerate(reach[:-1]):
+            pos = at[:many] + k
+            yield self.node.take(pos), self.bit.take(pos)
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.where(z > 60, z, np.log(1 + np.exp(np.minimum(z, 60))))
 
 
-def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums over runs of n values each, which may be empty."""
-    out = np.zeros((len(n), values.shape[1]), np.float32)
-    some = n > 0
-    if some.any():
-        out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=0)
-    return out
-
-
 def _sorted(rows: np.ndarray) -> np.ndarray:
     """The stable order of non-negative numbers below 2^32: two passes over 16 bits, which numpy sorts by radix."""
     order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
@@ -162,6 +158,28 @@ def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[edge], np.add.reduceat(values.take(order, axis=0), edge, axis=0)
 
 
+def _scatter_products(rows: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_scatter(rows, g * h[at])``: most rows occur a few times, so their sums grow by their k-th occurrences for small k;
+    the rest of the frequent ones is summed by runs."""
+    order = _sorted(rows)
+    rows, at, g = rows[order], at[order], g[order][:, None]
+    edge = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    n = np.diff(edge, append=len(rows))
+    edge = edge[_sorted(n.max() - n)]
+    reach = len(edge) - np.cumsum(np.bincount(n, minlength=FEW + 1))
+    out = h.take(at[edge], axis=0) * g[edge]
+    for k in range(1, FEW):
+        pos = edge[: reach[k]] + k
+        out[: len(pos)] += h.take(at[pos], axis=0) * g[pos]
+    if m := int(reach[FEW]):
+        long = rows[edge[:m]]
+        end = np.searchsorted(rows, long, side="right")
+        size = end - edge[:m] - FEW
+        pos = np.arange(int(size.sum())) + np.repeat(edge[:m] + FEW - (np.cumsum(size) - size), size)
+        out[:m] += np.add.reduceat(h.take(at[pos], axis=0) * g[pos], np.cumsum(size) - size, axis=0)
+    return rows[edge], out
+
+
 class Model:
     """Vocabulary, tree and parameters. Rows of ``E``: edge, words by rank, buckets; of ``W``: tree nodes, bias last; of ``D``: offsets, then c."""
 
@@ -213,13 +231,16 @@ class Model:
         out = np.zeros(len(leaf))
         for lo in range(0, len(leaf), BATCH):
             t = leaf[lo : lo + BATCH]
-            h, _ = self.hidden(x[lo : lo + BATCH])
-            tok, node, bit = self.tree.path(t)
-            z = ((self.W.take(node, axis=0) * h.take(tok, axis=0)) @ _ONES) * (1 - 2 * bit)
+            order = self.tree.longest_first(t)
+            t = t[order]
+            h, _ = self.hidden(x[lo : lo + BATCH][order])
+            low = np.zeros(len(t), np.float32)
+            for node, bit in self.tree.levels(t):
+                low[: len(node)] += _softplus(np.einsum("ij,ij->i", self.W.take(node, axis=0), h[: len(node)]) * (1 - 2 * bit))
             at = self.tree.exit.take(t)
             on, up = self.tree.on.take(at, axis=0), self.tree.up.take(at, axis=0)
             top = np.einsum("ij,ij->i", _softplus((h @ self.W[self.tree.first : self.tree.first + on.shape[1]].T) * (1 - 2 * up)), on)
-            out[lo : lo + BATCH] = -top - np.bincount(tok, _softplus(z), len(t))
+            out[lo + order] = -top - low
         return out
 
     def spelling(self, words: Words, which: np.ndarray) -> np.ndarray:
@@ -260,35 +281,45 @@ class Trainer:
         self.seen = {k: np.zeros(len(getattr(model, k)), np.float32) for k in "EWD"}
 
     def _move(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[rows] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
-        getattr(self.m, name)[rows] -= RATE * grad / (np.sqrt(seen[rows]) + 1e-9)[:, None]
+        seen, values = self.seen[name], getattr(self.m, name)
+        now = seen.take(rows) + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        seen[rows] = now
+        values[rows] = values.take(rows, axis=0) - grad * (RATE / (np.sqrt(now) + 1e-9))[:, None]
 
     def step(self, leaf: np.ndarray, x: np.ndarray, around: np.ndarray) -> None:
         """``around``: the words' own rows of E, with SPAN more on either side."""
         m = self.m
         if not len(m.keys) or not len(leaf):
             return
-        tok, node, bit = m.tree.path(leaf)
-        h, e = m.hidden(x)
+        order = m.tree.longest_first(leaf)
+        leaf = leaf[order]
+        h, e = m.hidden(x[order])
         rows = np.arange(m.tree.first, m.tree.first + m.tree.on.shape[1])
         at, top = m.tree.exit.take(leaf), m.W[rows]
         g_top = (1 / (1 + np.exp(-(h @ top.T))) - m.tree.up.take(at, axis=0)) * m.tree.on.take(at, axis=0)
         d = g_top @ top
-        if len(tok):
-            w, ht = m.W.take(node, axis=0), h.take(tok, axis=0)
-            g = (1 / (1 + np.exp(-((w * ht) @ _ONES))) - bit)[:, None]
-            d += _sums(g * w, m.tree.ptr[leaf + 1] - m.tree.ptr[leaf])
-            self._move("W", *_scatter(node, g * ht))
+        nodes, gs = [], []
+        for node, bit in m.tree.levels(leaf):
+            w = m.W.take(node, axis=0)
+            g = 1 / (1 + np.exp(-np.einsum("ij,ij->i", w, h[: len(node)]))) - bit
+            w *= g[:, None]
+            d[: len(node)] += w
+            nodes.append(node)
+            gs.append(g)
+        if nodes:
+            self._move("W", *_scatter_products(np.concatenate(nodes), np.concatenate([np.arange(len(k)) for k in nodes]), np.concatenate(gs), h))
         self._move("W", rows, g_top.T @ h)
         d = d[:, :-1] * (1 - h[:, :-1] ** 2)
-        grad = np.concatenate([np.einsum("ik,ijk->jk", d, e), d.sum(axis=0)[None]])
+        grad = np.stack([*(np.einsum("ik,ik->k", d, e[:, j]) for j in range(len(_OFFSETS))), d.sum(axis=0)])
+        back = np.empty_like(d)
+        back[order] = d
         # a word is a neighbour of those around it: its changes are summed by place first, those of the edge apart
         own, edge = np.zeros((len(around), HIDDEN), np.float32), np.zeros(HIDDEN, np.float32)
         for j, off in enumerate(_OFFSETS):
-            inside = (x[:, j] > 0)[:, None]
-            own[SPAN + off : SPAN + off + len(x)] += np.where(inside, d, 0) * m.D[j]
-            edge += np.where(inside, 0, d).sum(axis=0) * m.D[j]
+            part, out = back * m.D[j], np.flatnonzero(x[:, j] == 0)
+            edge += part[out].sum(axis=0)
+            part[out] = 0
+            own[SPAN + off : SPAN + off + len(x)] += part
         own[around == 0] = 0
         self._move("E", *_scatter(np.append(around, 0), np.concatenate([own, edge[None]])))
         self._move("D", np.arange(len(grad)), grad)
