@@ -259,6 +259,54 @@ def test_lexicon_stays_bounded():
         assert len(lex.key) <= 90
 
 
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    """A path, a star, a cycle and a loop: the same components within a task and round by round."""
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    path = [(i, i + 1) for i in range(100, 160)]
+    edges = [*path[::2], *path[1::2], *[(7, k) for k in range(8, 20)], (31, 30), (32, 31), (30, 32), (40, 40)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(7, 20)}, 30: 30, 31: 30, 32: 30}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_edges_take_one_task(spark):
+    tracker = spark.sparkContext.statusTracker()
+    edges = common.materialize(spark.range(3000).selectExpr("id as a", "id + 1 as b"))
+    spark.sparkContext.setJobGroup("few", "few")
+    common.components(edges)
+    assert len(tracker.getJobIdsForGroup("few")) <= 4
+    spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_ngram_join_sends_a_list_at_most_parts_times(spark, monkeypatch):
+    """Rows sent to the meeting of what is apart follow a list's length; no link is lost by it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "PARTS", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.choice(60, 2, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append(" ".join(words))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(_docs(spark, enumerate(rows))).collect()}
+    sets = [{" ".join(r.split()[k : k + 5]) for k in range(56)} for r in rows]
+    label = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert got == dict(enumerate(label))
+    lists = ngram_join.parts_of(spark.createDataFrame([(k, 1, 0, 100) for k in range(100)], "node long, sig long, component long, m long"))
+    assert lists.count() == 3 * 100
+    both = {(min(r.a, r.b), max(r.a, r.b)) for r in lists.alias("x").join(lists.alias("y"), ["sig", "part"]).selectExpr("x.node as a", "y.node as b").where("a < b").collect()}
+    assert len(both) == 100 * 99 // 2
+
+
 def _brute_repeats(raws, length):
     seen = collections.Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
     out = []

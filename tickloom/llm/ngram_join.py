@@ -24,10 +24,11 @@ alone: each counts as shared.
 
 Links without pairs. Signature lists are long where thousands of documents are near copies, and all their pairs must not be
 emitted. So each list first proposes only (member, pivot), the pivot being the list's least node in a random priority, and a node
-takes the one that most of its lists propose; proposals are verified exactly and connected components found. ROUNDS times more, those
-outside a list's largest component are asked against one node inside. Lists inside one component are settled, and of lists with the
-same members one is enough. In what is left members of different components meet by their parity sketches, block against block of
-at most BLOCK members within a task, and a task emits only the pairs that sizes and sketches can't prove to be below the
+takes the one that most of its lists propose; proposals are verified exactly and connected components found. Up to ROUNDS times more, as long
+as a round settles a tenth of the rows, those outside a list's largest component are asked against one node inside. Lists inside one component are settled, and of lists with the
+same members one is enough. In what is left members of different components meet by their parity sketches. A list of up to BLOCK
+members meets whole within a task; a longer one is cut into parts of BLOCK, at most PARTS of them, and part meets part. So a member is sent PARTS times at
+most: rows follow the lists' length, not its square, while the sketches compared within tasks do grow with the square. A task emits only the pairs that sizes and sketches can't prove to be below the
 threshold: no link between components is lost, and no group's pairs become rows. A pair that meets in many lists is emitted by the
 first of them, as far as the LOW least lists of both tell. Verification compares the exact shingle sets
 of the texts (64-bit hashes).
@@ -60,8 +61,10 @@ LEAST = 64
 SMALL = 32
 TAU = 0.3
 FEW = 16
-BLOCK = 1024
+BLOCK = 4096
+PARTS = 8
 ROUNDS = 3
+PAYS = 0.9
 LOW = 16
 SMALL_SKETCH = 256
 SALTS = 32
@@ -152,7 +155,7 @@ def near_pairs(component: np.ndarray, n: np.ndarray, bits: list[bytes]) -> tuple
     n, component = n[order], component[order]
     end = np.searchsorted(n * NUM, n * DEN, side="right")  # partners of the i-th set are at most as large
     out = [np.empty((2, 0), np.int64)]
-    step = 128
+    step = max(1, min(128, (1 << 22) // max(1, len(n))))
     for lo in range(0, len(n), step):
         hi, last = min(lo + step, len(n)), int(end[min(lo + step, len(n)) - 1])
         size = min(len(bits[k]) for k in order[lo:hi])
@@ -172,7 +175,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, part, node, component, n, bits, low) sorted by sig and part -> the pairs (a < b) of nodes of each part that may link.
 
     ``low`` are the least signatures of the node: a pair that has one below this one in common has met there. A part is
-    held until its last row has come: at most about 2 BLOCK rows.
+    held until its last row has come: about 2 BLOCK rows, or of lists of more than BLOCK * PARTS members a quarter.
     """
     rest: pa.Table | None = None
 
@@ -440,6 +443,13 @@ def _unsettled(lists: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(rows.join(materialize(best.select("sig", F.col("top.component").alias("main")), "unsettled"), "sig"), "open")
 
 
+def parts_of(open_: DataFrame) -> DataFrame:
+    """Rows (node, sig, component, part) for rows with m, their list's length: a list in at most PARTS parts, each with itself and each other one."""
+    parted = open_.withColumn("of", F.expr(f"cast(least((m + {BLOCK} - 1) div {BLOCK}, {PARTS}) as int)")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("of")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
+    return parted.select("node", "sig", "component", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).cast("long").alias("part"))
+
+
 def _candidates(src: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members (id, rk, n, set), and the nodes (node, set, n, sketch, bits, text, cold, hot, cls) that may link: one row for each set."""
     spark = src.sparkSession
@@ -506,19 +516,23 @@ def links(src: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     open_ = _unsettled(lists, found)
     release(spark, lists)
     # then, a few times, some node of a list's largest component for those outside it: again one for each node
+    left = open_.count()
     for k in range(ROUNDS):
-        if not open_.limit(1).count():
-            return members, nodes, found
+        if not left:
+            break
         lead = open_.where("component = main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("p"), F.col("node").alias("b"))).alias("top"))
         lead = materialize(lead.select("sig", "top.b"), "pivots")
         asked = open_.where("component <> main").select("sig", F.col("node").alias("a")).join(lead, "sig").groupBy("a", "b").agg(F.count("*").alias("m"))
         found = found.union(_verify(pair(asked.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))), nodes))
         was, open_ = open_, _unsettled(open_.select("sig", "node", "m"), found)
         release(spark, lead, was)
-    # whatever is still apart meets by its sketches, in parts of a list of at most BLOCK members, each with itself and each other one
-    parted = open_.withColumn("of", F.expr(f"cast((m + {BLOCK} - 1) div {BLOCK} as int)")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("of")).cast("int"))
-    parted = parted.withColumn("other", F.explode(F.when(F.col("of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1))))
-    parted = parted.select("node", "sig", "component", (F.least("own", "other") * F.col("of") + F.greatest("own", "other")).cast("long").alias("part"))
+        before, left = left, open_.count()
+        if left > PAYS * before:
+            break
+    if not left:
+        return members, nodes, found
+    # whatever is still apart meets by its sketches
+    parted = parts_of(open_)
     low = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
     known = materialize(nodes.select("node", "n", "bits").join(low, "node"), "known")
     met = parted.join(known, "node").select("sig", "part", "node", "component", "n", "bits", "low")
