@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, ngram_join, quality, repeats, sentencepieces
-from tickloom.llm.common import aside, named, release, shared_dir
+from tickloom.llm.common import aside, bloom, materialize, maybe_in, named, release, shared_dir
 from tickloom.llm.queries import graded
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return ngram_join.one_per_group(docs)
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a repeated string of 400 bytes go; documents that have no text left go with them.
+#: A passage of over 50 words that stands twice goes.
+PASSAGE_WORDS = 51
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Bytes under a repeated string of 400 bytes, or a repeated run of ``words`` words, go; documents that have no text left go with them.
 
     A character cut in two goes whole.
     """
@@ -48,15 +52,27 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
             yield pa.RecordBatch.from_arrays([kept if c == text else batch.column(c) for c in own], names=own)
 
-    out = repeats.remove_repeats(flat, id_col=doc_id, text_col=text)
+    out = repeats.remove_repeats(flat, id_col=doc_id, text_col=text, words=words)
     same = out.where(F.size("removed") == 0).select(*own)
     cut = out.where((F.size("removed") > 0) & (F.octet_length("kept") > 0)).select(*[F.lit(None).cast("string").alias(c) if c == text else c for c in own], "kept").mapInArrow(decoded, schema)
     return named(same.unionByName(cut.where(F.length(F.trim(text)) > 0).withColumn(size, F.length(text).cast(schema[size].dataType))), names)
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``cut_repeats``, and passages of over 50 words go as well: many have fewer than 400 bytes."""
+    return cut_repeats(spark, docs, sf_dir, PASSAGE_WORDS)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a benchmark item go, and those whose text in ``documents`` did: an item that stands twice may have been cut from them in part."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = materialize(decontamination.matches(source, items).select(F.col("doc_id").alias("k")).where("k is not null").distinct(), "held")
+    flat, names = aside(docs)
+    split = maybe_in(flat.withColumn("k", F.col(f"f{names.index('doc_id')}")), bloom(held))  # only a few documents are shuffled
+    rest = split.where("__maybe").drop("__maybe").join(held, "k", "left_anti")
+    out = split.where(~F.col("__maybe")).select(*flat.columns).unionByName(rest.select(*flat.columns))
+    return decontamination.decontaminate(named(out, names), items)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +83,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("n-gram Jaccard join", drop_near_copies),
-    ("suffix-array dedup", cut_repeats),
+    ("suffix-array dedup", cut_passages),
     ("benchmark decontamination", drop_benchmark),
     ("SentencePiece encoding", encode),
 ]

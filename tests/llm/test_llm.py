@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -365,6 +366,51 @@ def test_repeats_of_repeated_rows(spark):
     assert [got[i] for i in range(len(words))] == want
 
 
+def _brute_passages(text, n):
+    """Byte runs of the words that repeated runs of n words cover, in each text."""
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in text]
+    seen = collections.Counter(tuple(t[a:b] for a, b in w[p : p + n]) for t, w in zip(text, words) for p in range(len(w) - n + 1))
+    return [[(w[p][0], w[p + n - 1][1]) for p in range(len(w) - n + 1) if seen[tuple(t[a:b] for a, b in w[p : p + n])] > 1] for t, w in zip(text, words)]
+
+
+@pytest.mark.parametrize(("words", "piece"), [(51, 1 << 20), (20, 700)])
+def test_repeated_passages_of_words_are_exact(spark, texts, monkeypatch, words, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rng = np.random.default_rng(43)
+    passage = _prose(rng, words).split()
+    inner, short, tiny = " ".join(passage), " ".join(passage[1:]), " ".join(rng.choice(list("abcdefgh"), words + 3))
+    rows = [*texts, f"{_prose(rng, 9)} {inner} {_prose(rng, 9)}", f"é {_prose(rng, 70)}\n{'  '.join(passage)}", f"{_prose(rng, 9)} x{inner}", f"{short} {_prose(rng, 9)}", tiny, f"z {tiny}", "b " * 300, inner + " " + _prose(rng, 3000)]
+    raws = [(t or "").encode() for t in rows]
+    cover = [np.zeros(len(r), bool) for r in raws]
+    for want in (_brute_repeats(raws, 400), _brute_passages(raws, words)):
+        for c, runs in zip(cover, want):
+            for a, b in runs:
+                c[a:b] = True
+    got = {r.doc_id: r for r in repeats.remove_repeats(_docs(spark, enumerate(rows), extra=True), words=words).collect()}
+    assert len(got) == len(rows) and cover[len(texts)].any() and not cover[len(texts) + 3].any()
+    for i, raw in enumerate(raws):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover[i], [0]]).astype(int))).tolist()
+        assert [tuple(x) for x in got[i].removed] == list(zip(edge[::2], edge[1::2])), i
+        assert bytes(got[i].kept) == bytes(np.frombuffer(raw, np.uint8)[~cover[i]])
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(44)
+    passage, item = _prose(rng, 52), _prose(rng, 55)
+    assert len(passage) < 400 and len(item) < 400
+    texts = [f"{_prose(rng, 40)} {passage} {_prose(rng, 30)}", f"{_prose(rng, 20)} {passage} {_prose(rng, 60)}", f"{_prose(rng, 50)} {item}", f"{_prose(rng, 30)} {item} end", _prose(rng, 90)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(pipeline.STAGES)
+    cut = stage["suffix-array dedup"](spark, docs, str(tmp_path)).localCheckpoint()
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert got == {0: texts[0].replace(passage, ""), 1: texts[1].replace(passage, ""), 2: texts[2].replace(item, ""), 3: texts[3].replace(item, ""), 4: texts[4]}
+    # an item that stood twice is cut, but its documents still go
+    assert {r.doc_id for r in stage["benchmark decontamination"](spark, cut, str(tmp_path)).collect()} == {0, 1, 4}
+
+
 def _labelled(spark, sf):
     return spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
 
